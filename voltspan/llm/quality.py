@@ -35,7 +35,7 @@ SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 VECTOR = ("v_length", "v_symbols", "v_lines", "v_repeats", "v_upper", "v_marks")
 #: Least standard deviation of each part of VECTOR: statistics that are zero nearly everywhere would else have no scatter.
-FLOOR = np.array([0.08, 0.01, 0.03, 0.03, 0.03, 0.05])
+FLOOR = np.array([0.08, 0.01, 0.3, 0.03, 0.03, 0.05])
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long"
 UPPER = np.zeros(256, dtype=bool)
 UPPER[65:91] = True
@@ -140,6 +140,23 @@ def _distance() -> F.Column:
     return F.greatest(total, F.lit(0.0))
 
 
+def _step(last: bool):
+    """A concentration step over the cells of a group; the last one also scales the scatter up to consistency."""
+    d = len(VECTOR)
+
+    def concentrate(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        mean, cov = _moments(group, HALF)
+        if not last:
+            return _row(key, mean, cov, 1.0)
+        # The median distance seen against the median of chi squared with d degrees.
+        g = group.sort_values("cell")
+        at = np.searchsorted(np.cumsum(g["n"].to_numpy(dtype=float)), HALF * g["n"].sum())
+        seen = 2 ** ((g["cell"].iloc[min(at, len(g) - 1)] + 0.5 - 80) / 8)
+        return _row(key, mean, cov, float(np.clip(seen / (d * (1 - 2 / (9 * d)) ** 3), 1.0, 4.0)))
+
+    return concentrate
+
+
 def estimate(rows: DataFrame) -> DataFrame:
     """Minimum covariance determinant of VECTOR for each (g_lang, g_source) of rows."""
     d = len(VECTOR)
@@ -152,22 +169,11 @@ def estimate(rows: DataFrame) -> DataFrame:
     found = start.select("g_lang", "g_source", F.array(*(F.col(f"m{i}") for i in range(d))).alias("mean"), F.array(*((1 / (sd[i] * sd[i])) if i == j else F.lit(0.0) for i in range(d) for j in range(d))).alias("inverse"))
     for step in range(STEPS):
         last = step == STEPS - 1
-        # Where a distance within half of all rows is cut, scatter shrinks; the last step takes it up to consistency by reweighting.
         near = rows.join(found, rows["g_lang"].eqNullSafe(found["g_lang"]) & rows["g_source"].eqNullSafe(found["g_source"])).drop(found["g_lang"]).drop(found["g_source"])
         near = near.withColumn("cell", F.least(F.floor(F.log2(_distance() + 1e-3) * 8 + 80), F.lit(CELLS)).cast("int"))
         cells = near.groupBy("g_lang", "g_source", "cell").agg(*sums)
 
-        def concentrate(key: tuple, group: pd.DataFrame, last=last) -> pd.DataFrame:
-            if not last:
-                return _row(key, *_moments(group, HALF), 1.0)
-            mean, cov = _moments(group, HALF)
-            # Median of chi squared with d degrees against the median distance seen.
-            g = group.sort_values("cell")
-            at = np.searchsorted(np.cumsum(g["n"].to_numpy(dtype=float)), HALF * g["n"].sum())
-            seen = 2 ** ((g["cell"].iloc[min(at, len(g) - 1)] + 0.5 - 80) / 8)
-            return _row(key, mean, cov, float(np.clip(seen / (d * (1 - 2 / (9 * d)) ** 3), 1.0, 4.0)))
-
-        found = materialise(cells.groupBy("g_lang", "g_source").applyInPandas(concentrate, ESTIMATE), "quality-estimate")
+        found = materialise(cells.groupBy("g_lang", "g_source").applyInPandas(_step(last), ESTIMATE), "quality-estimate")
     return found
 
 
@@ -185,7 +191,7 @@ def judge(docs: DataFrame) -> DataFrame:
     # Estimates of a language or of all rows rest on all their rows, not just on those of small groups.
     wide = of.select("g_lang", "g_source").distinct().where(F.col("g_source") == rest)
     langs = good.select(F.col("lang").alias("g_lang"), rest.alias("g_source"), *VECTOR).join(wide.where(F.col("g_lang").isNull() | (F.col("g_lang") != every)).withColumnRenamed("g_lang", "_l").drop("g_source"), F.col("g_lang").eqNullSafe(F.col("_l"))).drop("_l")
-    all_rows = good.select(every.alias("g_lang"), rest.alias("g_source"), *VECTOR).join(wide.where(F.col("g_lang") == every).select(F.lit(1).alias("_one")))
+    all_rows = good.select(every.alias("g_lang"), rest.alias("g_source"), *VECTOR).join(wide.where(F.col("g_lang") == every).select(F.col("g_lang").alias("_l")), F.col("g_lang") == F.col("_l"), "left_semi")
     named = joined.where(F.col("g_source").isNull() | (F.col("g_source") != rest)).select("g_lang", "g_source", *VECTOR)
     found = estimate(named.unionByName(langs).unionByName(all_rows))
     found = found.select(F.col("g_lang").alias("_gl"), F.col("g_source").alias("_gs"), "mean", "inverse")
