@@ -21,7 +21,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again, so that lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/voltspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
