@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from voltspan.llm._blocks import Block, blocks, mix, signed, windows
 from voltspan.llm._components import components
-from voltspan.llm._io import materialise
+from voltspan.llm._io import materialise, release
 
 SHINGLE, PERCENT = 4, 85
 #: Pivots that each index list has in turn before the rest is matched.
@@ -165,10 +165,12 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     sets = own.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("head").alias("head"))
     index = sets.select("s", "n", F.posexplode("head").alias("pos", "h"))
     lists = index.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    index = materialise(index.join(lists, "h"), "setjoin-lists")
+    lists = materialise(index.join(lists, "h"), "setjoin-lists")
+    index = lists
     # The set that meets most others is the pivot of its lists: of near copies, mostly the one that all were made from.
     meets = index.groupBy("s").agg(F.sum("size").alias("meets"))
     index = materialise(index.join(meets, "s"), "setjoin-index")
+    release(lists)
     # One document stands for each set in a list.
     wanted = own.where("n > 0").join(index.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     arrays = materialise(set_arrays(docs, wanted, k), "setjoin-sets")

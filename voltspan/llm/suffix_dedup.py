@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltspan.llm._blocks import SYMBOL, Block, as_bytes, blocks, mix, powers, prefix_sums, span_hash
-from voltspan.llm._io import materialise, partitions
+from voltspan.llm._io import materialise, partitions, release
 
 SPAN, GRAM = 100, 50
 REACH = SPAN - GRAM
@@ -484,10 +484,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     splitters = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     wanted = rows.join(flags, ["doc_id", "row"]).select("doc_id", "row", "text", "ordinals")
     found = materialise(runs(wanted, splitters), "suffix-runs")
+    release(chunks)
     merged = materialise(found.where("part is not null").groupBy("part").applyInArrow(_merge(parts), ROWS), "suffix-merged")
     settled = merged.where("part is not null").groupBy("part").applyInArrow(_settle, "doc_id long, row long, first long, last long")
     known = [x.where("part is null").select("doc_id", "row", "first", "last") for x in (found, merged)]
-    return settled.unionByName(known[0]).unionByName(known[1])
+    out = materialise(settled.unionByName(known[0]).unionByName(known[1]), "suffix-ranges")
+    release(found, merged)
+    return out
 
 
 def cut(docs: DataFrame) -> DataFrame:
