@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +19,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again, so that lost executors cost no recomputation."""
+def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again, so that lost executors cost no recomputation.
+
+    free: also delete the files that finished shuffles have left.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/voltspan/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # What was shuffled for it is no longer needed; without this, those files stay until the JVM happens to collect.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        # What was shuffled for it is no longer needed; without this, those files stay until the JVM happens to collect.
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        for _ in range(3):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
     out = spark.read.schema(df.schema).parquet(path)
     out.voltspan_path = path
     return out

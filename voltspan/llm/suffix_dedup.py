@@ -24,7 +24,6 @@ columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 
 from voltspan.llm._blocks import SYMBOL, Block, as_bytes, blocks, mix, powers, prefix_sums, span_hash
 from voltspan.llm._io import materialise, partitions, release
+from voltspan.llm._repeats import CHUNKS, answers, ask, hits
 
 SPAN, GRAM = 100, 50
 REACH = SPAN - GRAM
@@ -76,16 +76,6 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return a, start[new], start[np.concatenate((new[1:], [len(start)])) - 1], gram[a]
 
 
-def _ipc(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-CHUNKS = "chunk string, part int, hashes binary, twice binary, docs binary"
-
-
 def anchor_chunks(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -93,23 +83,11 @@ def anchor_chunks(docs: DataFrame, parts: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             hashes = np.concatenate([x[0] for x in held])
-            kinds, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
-            part = (kinds % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            place = np.empty(len(kinds), dtype="<i4")
-            place[order] = np.arange(len(kinds), dtype="<i4")
-            kinds, n, part = kinds[order], n[order], part[order]
             table = pa.table({"doc_id": pa.concat_arrays([x[2] for x in held]), "row": pa.concat_arrays([x[3] for x in held]), "n": pa.array(np.concatenate([x[1] for x in held]))})
-            chunk = uuid.uuid4().hex
-            rows = [(chunk, -1, place[inverse].tobytes(), b"".join(sampled[:: max(1, len(sampled) // SAMPLED)]), _ipc(table))]
-            edge = np.searchsorted(part, np.arange(parts + 1))
-            for p in range(parts):
-                if edge[p] < edge[p + 1]:
-                    rows.append((chunk, p, kinds[edge[p] : edge[p + 1]].tobytes(), np.packbits(n[edge[p] : edge[p + 1]] > 1).tobytes(), b""))
+            out = ask(hashes, table, parts, b"".join(sampled[:: max(1, len(sampled) // SAMPLED)]))
             held.clear()
             sampled.clear()
-            types = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["chunk", "part", "hashes", "twice", "docs"])
+            return out
 
         size = 0
         for block in blocks(batches):
@@ -127,25 +105,9 @@ def anchor_chunks(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, CHUNKS)
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Of one part: for each chunk, whether each of its hashes occurs twice in the corpus."""
-    hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
-    twice = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(h)) for x, h in zip(table.column("twice").to_pylist(), hashes, strict=True)]
-    kinds, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    n = np.bincount(inverse, weights=1.0 + np.concatenate(twice), minlength=len(kinds))
-    back = np.split((n > 1)[inverse], np.cumsum([len(x) for x in hashes])[:-1])
-    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "repeats": pa.array([np.packbits(x).tobytes() for x in back], pa.binary()), "count": pa.array([len(x) for x in back], pa.int64())})
-
-
 def _flags(table: pa.Table) -> pa.Table:
     """Of one chunk: for each document, the ordinals of its repeated anchors."""
-    parts = table.column("part").to_pylist()
-    own = parts.index(-1)
-    order = [i for i in sorted(range(len(parts)), key=parts.__getitem__) if i != own]
-    bits = [np.unpackbits(np.frombuffer(table.column("repeats")[i].as_py(), dtype=np.uint8), count=table.column("count")[i].as_py()) for i in order]
-    repeats = np.concatenate(bits) if bits else np.empty(0, dtype=np.uint8)
-    hit = repeats[np.frombuffer(table.column("hashes")[own].as_py(), dtype="<i4")].astype(bool)
-    docs = pa.ipc.open_stream(table.column("docs")[own].as_py()).read_all()
+    hit, docs = hits(table)
     n = docs.column("n").to_numpy()
     first = np.cumsum(n) - n
     at = np.flatnonzero(hit)
@@ -475,20 +437,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     parts = max(2, partitions(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("doc_id is not null")
     chunks = materialise(anchor_chunks(rows, parts), "suffix-anchors")
-    repeats = chunks.where("part >= 0").select("chunk", "part", "hashes", "twice").groupBy("part").applyInArrow(_repeats, "chunk string, part int, repeats binary, count long")
-    none = F.lit(None).cast("binary")
-    both = repeats.select("chunk", "part", "repeats", "count", none.alias("hashes"), none.alias("docs")).unionByName(chunks.where("part = -1").select("chunk", "part", none.alias("repeats"), F.lit(None).cast("long").alias("count"), "hashes", "docs"))
-    flags = both.groupBy("chunk").applyInArrow(_flags, "doc_id long, row long, ordinals binary").distinct()
+    flags = answers(chunks).groupBy("chunk").applyInArrow(_flags, "doc_id long, row long, ordinals binary").distinct()
     seen = chunks.where("part = -1").select("twice").limit(MOST_SAMPLED // SAMPLED).toArrow().column("twice").to_pylist()
     sample = sorted(x[i : i + GRAM] for x in seen for i in range(0, len(x), GRAM))
     splitters = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     wanted = rows.join(flags, ["doc_id", "row"]).select("doc_id", "row", "text", "ordinals")
-    found = materialise(runs(wanted, splitters), "suffix-runs")
+    found = materialise(runs(wanted, splitters), "suffix-runs", free=True)
     release(chunks)
-    merged = materialise(found.where("part is not null").groupBy("part").applyInArrow(_merge(parts), ROWS), "suffix-merged")
+    merged = materialise(found.where("part is not null").groupBy("part").applyInArrow(_merge(parts), ROWS), "suffix-merged", free=True)
     settled = merged.where("part is not null").groupBy("part").applyInArrow(_settle, "doc_id long, row long, first long, last long")
     known = [x.where("part is null").select("doc_id", "row", "first", "last") for x in (found, merged)]
-    out = materialise(settled.unionByName(known[0]).unionByName(known[1]), "suffix-ranges")
+    out = materialise(settled.unionByName(known[0]).unionByName(known[1]), "suffix-ranges", free=True)
     release(found, merged)
     return out
 
