@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from voltspan.llm._blocks import Block, blocks, mix, signed, windows
 from voltspan.llm._components import components
-from voltspan.llm._io import materialise, release
+from voltspan.llm._io import materialise, partitions, release
+from voltspan.llm._repeats import CHUNKS, answers, ask, hits
 
 SHINGLE, PERCENT = 4, 85
+CHUNK = 16 << 20
 #: Pivots that each index list has in turn before the rest is matched.
 PIVOTS = 2
 #: Shingles of at least this many documents among WINDOW_SETS shingles of a task are candidates for the frequent list, which
@@ -86,34 +88,68 @@ def keys(found: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, s (hash of the set) and the set's prefix in the order of all shingles."""
+    """For each document a row (doc_id, n, s: hash of the set), and one for each shingle h of its prefix that repeats."""
     often = frequent_shingles(docs, k)
     by_hash = np.argsort(often)
     shared = docs.sparkSession.sparkContext.broadcast((often[by_hash], by_hash))
+    parts = max(2, partitions(docs.sparkSession))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def head_of(found: np.ndarray) -> np.ndarray:
+        """The items of a set that its index entries are made from, the rarest first."""
         hashes, rank = shared.value
+        length = len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0
+        if not len(hashes):
+            return found[:length]
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        often = hashes[at] == found
+        head = found[~often][:length]
+        if len(head) < length:
+            rest = found[often]
+            head = np.concatenate((head, rest[np.argsort(rank[at[often]])][: length - len(head)]))
+        return head
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[pa.Array] = []
+        n: list[int] = []
+        s: list[int] = []
+        heads: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            every = np.concatenate(heads)
+            table = pa.table({"doc_id": pa.concat_arrays(ids), "size": pa.array(n, pa.int64()), "s": pa.array(s, pa.int64()), "n": pa.array(list(map(len, heads)), pa.int64()), "head": pa.array([signed(x).tobytes() for x in heads], pa.binary())})
+            for x in (ids, n, s, heads):
+                x.clear()
+            return ask(every, table, parts)
+
+        size = 0
         for block in blocks(batches):
-            n, s, heads = [], [], []
+            ids.append(block.rows.column("doc_id"))
             for found in shingle_sets(block, k):
                 n.append(len(found))
                 s.append(keys(found))
-                length = len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                    often = hashes[at] == found
-                    head = found[~often][:length]
-                    if len(head) < length:
-                        rest = found[often]
-                        head = np.concatenate((head, rest[np.argsort(rank[at[often]])][: length - len(head)]))
-                else:
-                    head = found[:length]
-                heads.append(signed(head))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32)
-            array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads) if heads else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), array], names=["doc_id", "n", "s", "head"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, s long, head array<long>")
+                heads.append(head_of(found))
+            size += len(block.buf)
+            if size > CHUNK:
+                yield flush()
+                size = 0
+        if heads:
+            yield flush()
+
+    def entries(table: pa.Table) -> pa.Table:
+        hit, rows = hits(table)
+        n = rows.column("n").to_numpy()
+        doc = np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        h = np.frombuffer(b"".join(rows.column("head").to_pylist()), dtype=np.int64)[hit]
+        every = np.concatenate((np.arange(len(n)), doc[hit]))
+        picked = rows.take(pa.array(every))
+        gone = pa.nulls(len(n), pa.int64())
+        return pa.table({"doc_id": picked.column("doc_id"), "n": picked.column("size"), "s": picked.column("s"), "pos": pa.concat_arrays([gone, pa.array(pos[hit])]), "h": pa.concat_arrays([gone, pa.array(h)])})
+
+    chunks = materialise(docs.mapInArrow(run, CHUNKS), "setjoin-chunks")
+    out = materialise(answers(chunks).groupBy("chunk").applyInArrow(entries, "doc_id long, n long, s long, pos long, h long"), "setjoin-prefixes", free=True)
+    release(chunks)
+    return out
 
 
 def set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -161,11 +197,12 @@ def _near_lengths(a, b, percent: int):
 def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = materialise(prefixes(docs, k, percent), "setjoin-prefixes")
-    sets = own.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("head").alias("head"))
-    index = sets.select("s", "n", F.posexplode("head").alias("pos", "h"))
+    found = prefixes(docs, k, percent)
+    own = found.where("h is null").select("doc_id", "n", "s")
+    # Documents of equal sets have the same entries.
+    index = found.where("h is not null").select("s", "n", "pos", "h").distinct()
     lists = index.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    lists = materialise(index.join(lists, "h"), "setjoin-lists")
+    lists = materialise(index.join(lists, "h"), "setjoin-lists", free=True)
     index = lists
     # The set that meets most others is the pivot of its lists: of near copies, mostly the one that all were made from.
     meets = index.groupBy("s").agg(F.sum("size").alias("meets"))
@@ -173,7 +210,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     release(lists)
     # One document stands for each set in a list.
     wanted = own.where("n > 0").join(index.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-    arrays = materialise(set_arrays(docs, wanted, k), "setjoin-sets")
+    arrays = materialise(set_arrays(docs, wanted, k), "setjoin-sets", free=True)
     group, checked = None, None
     for turn in range(PIVOTS):
         if group is None:
