@@ -142,7 +142,7 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
         h = np.frombuffer(b"".join(rows.column("head").to_pylist()), dtype=np.int64)[hit]
         every = np.concatenate((np.arange(len(n)), doc[hit]))
-        picked = rows.take(pa.array(every))
+        picked = rows.select(["doc_id", "size", "s"]).take(pa.array(every))
         gone = pa.nulls(len(n), pa.int64())
         return pa.table({"doc_id": picked.column("doc_id"), "n": picked.column("size"), "s": picked.column("s"), "pos": pa.concat_arrays([gone, pa.array(pos[hit])]), "h": pa.concat_arrays([gone, pa.array(h)])})
 
