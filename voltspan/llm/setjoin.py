@@ -228,7 +228,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
             pairs = pairs.where(F.col("component") != F.col("p.component"))
         pairs = pairs.where((F.col("s") != F.col("p.s")) & _near_lengths(F.col("n"), F.col("p.n"), percent))
         pairs = pairs.select(F.least("s", "p.s").alias("x"), F.greatest("s", "p.s").alias("y"), F.when(F.col("s") < F.col("p.s"), F.col("n")).otherwise(F.col("p.n")).alias("nx"), F.when(F.col("s") < F.col("p.s"), F.col("p.n")).otherwise(F.col("n")).alias("ny")).distinct()
-        first = materialise(verify(pairs, arrays), "setjoin-verified")
+        first = materialise(verify(pairs, arrays), "setjoin-verified", free=True)
         links = first.where(_linked(F.col("common"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         checked = first if checked is None else checked.unionByName(first)
         if turn == 0:
@@ -242,7 +242,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     shares = checked.select(F.col("x").alias("s"), F.col("y").alias("pivot"), "common").unionByName(checked.select(F.col("y").alias("s"), F.col("x").alias("pivot"), "common")).distinct()
     known = known.join(shares, ["s", "pivot"], "left")
     known = known.withColumn("common", F.when(F.col("s") == F.col("pivot"), F.col("n")).otherwise(F.col("common")))
-    known = materialise(known, "setjoin-known")
+    known = materialise(known, "setjoin-known", free=True)
     open_lists = known.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
     rest = known.where(F.col("s") != F.col("pivot")).join(open_lists, "h", "left_semi")
     step = -np.log(percent / 100)
@@ -256,11 +256,11 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     matched = (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))) & _near_lengths(F.col("nx"), F.col("ny"), percent) & (by_position >= need) & (upper >= need)
     found = x.join(y, ["h", "block"]).where(matched).select("x", "y", "nx", "ny", "vx", "vy", "pivot_n", "cx", "cy")
     found = found.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.max(F.coalesce(F.col("vx") + F.col("vy") - F.col("pivot_n"), F.lit(0))).alias("lower"))
-    found = materialise(found, "setjoin-open")
+    found = materialise(found, "setjoin-open", free=True)
     sure = _linked(F.col("lower"), F.col("nx"), F.col("ny"), percent)
     more = found.where(sure).select(F.col("x").alias("a"), F.col("y").alias("b"))
     exact = verify(found.where(~sure).select("x", "y", "nx", "ny"), arrays)
-    more = materialise(more.unionByName(exact.where(_linked(F.col("common"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))), "setjoin-more")
+    more = materialise(more.unionByName(exact.where(_linked(F.col("common"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))), "setjoin-more", free=True)
     if not more.isEmpty():
         group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = own.join(group.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "s")))
