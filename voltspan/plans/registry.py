@@ -350,11 +350,11 @@ def unpivot_metrics(t):
     return t.lineitem.where("l_orderkey % 5 = 0").unpivot(["l_orderkey", "l_linenumber", "l_partkey"], [F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax")], "metric", "value")
 
 
-@query("select vec_id, len(embedding)::bigint n, round(list_sum(list_transform(embedding[1:4], lambda x: x::double)), 4) head from embeddings")
+@query("select vec_id, len(embedding)::bigint n, round(list_sum(list_transform(embedding[1:4], lambda x: x::double)), 4) + 0.0 as head from embeddings")
 def matrix_to_points(t):
     cells = t.embeddings.select("vec_id", F.posexplode("embedding").alias("col", "val"))
     points = cells.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("p"))
-    return points.select("vec_id", F.size("p").cast("long").alias("n"), F.round(F.aggregate(F.slice("p", 1, 4), F.lit(0.0), lambda acc, x: acc + x["val"].cast("double")), 4).alias("head"))
+    return points.select("vec_id", F.size("p").cast("long").alias("n"), (F.round(F.aggregate(F.slice("p", 1, 4), F.lit(0.0), lambda acc, x: acc + x["val"].cast("double")), 4) + F.lit(0.0)).alias("head"))
 
 
 @query("select user_id, event_id, event_type, lag(event_type) over w before, round(value - lag(value) over w, 6) change from events window w as (partition by user_id order by ts, event_id)")
