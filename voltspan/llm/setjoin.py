@@ -30,6 +30,8 @@ from voltspan.llm._repeats import CHUNKS, answers, ask, hits
 
 SHINGLE, PERCENT = 4, 85
 CHUNK = 16 << 20
+#: Bytes of an item that are kept for verification.
+ITEM = 6
 #: Pivots that each index list has in turn before the rest is matched.
 PIVOTS = 2
 #: Shingles of at least this many documents among WINDOW_SETS shingles of a task are candidates for the frequent list, which
@@ -60,11 +62,11 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             every = np.sort(np.concatenate(held))
-            edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
+            edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True]))) if len(every) else np.zeros(1, dtype=np.int64)
             n = np.diff(edge)
             often = n >= OFTEN
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(signed(every[edge[:-1]][often])), pa.array(n[often])], names=["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(signed(every[edge[:-1][often]])), pa.array(n[often])], names=["h", "n"])
 
         for block in blocks(batches):
             for found in shingle_sets(block, k):
@@ -152,6 +154,18 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out
 
 
+def pack_items(found: np.ndarray) -> bytes:
+    """A set as sorted items of ITEM bytes of their hashes; two sets of 1,000 items agree by chance in one of 10 ** 8 pairs."""
+    return np.unique(found & np.uint64((1 << 8 * ITEM) - 1)).view(np.uint8).reshape(-1, 8)[:, :ITEM].tobytes()
+
+
+def unpack_items(data) -> np.ndarray:
+    packed = np.frombuffer(data, dtype=np.uint8).reshape(-1, ITEM)
+    out = np.zeros((len(packed), 8), dtype=np.uint8)
+    out[:, :ITEM] = packed
+    return out.view(np.uint64).ravel()
+
+
 def set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """s and its shingles, for the sets in wanted (s, doc_id)."""
 
@@ -161,10 +175,11 @@ def set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for want, found in zip(block.rows.column("s").to_pylist(), shingle_sets(block, k), strict=True):
                 if keys(found) == want:
                     s.append(want)
-                    items.append(signed(found))
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array([x.tobytes() for x in items], pa.binary())], names=["s", "items"])
+                    items.append(pack_items(found))
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(items, pa.binary())], names=["s", "items"])
 
-    return docs.join(wanted, "doc_id").select("s", "text").mapInArrow(run, "s long, items binary").dropDuplicates(["s"])
+    # Rows that repeat a doc_id give equal rows here, and equal pairs later; nothing counts them.
+    return docs.join(wanted, "doc_id").select("s", "text").mapInArrow(run, "s long, items binary")
 
 
 def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -174,7 +189,7 @@ def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
         for batch in batches:
             common = []
             for a, b in zip(batch.column("xs"), batch.column("ys"), strict=True):
-                u, v = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (a, b))
+                u, v = (unpack_items(z.as_buffer()) for z in (a, b))
                 if len(u) > len(v):
                     u, v = v, u
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
@@ -206,7 +221,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     index = lists
     # The set that meets most others is the pivot of its lists: of near copies, mostly the one that all were made from.
     meets = index.groupBy("s").agg(F.sum("size").alias("meets"))
-    index = materialise(index.join(meets, "s"), "setjoin-index")
+    index = materialise(index.join(meets, "s"), "setjoin-index", free=True)
     release(lists)
     # One document stands for each set in a list.
     wanted = own.where("n > 0").join(index.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
@@ -222,7 +237,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
             last = open_index.join(pivots.select("h", F.col("p.s").alias("last")), "h")
             of_last = last.where(F.col("s") == F.col("last")).select("h", F.col("component").alias("of_last"))
             pivots = last.join(of_last, "h").where(F.col("component") != F.col("of_last")).groupBy("h").agg(F.max(F.struct("meets", "n", "s", "component")).alias("p"))
-        pivots = materialise(pivots, "setjoin-pivots")
+        pivots = materialise(pivots, "setjoin-pivots", free=True)
         pairs = open_index.join(pivots, "h").select("s", "n", "component", "p")
         if group is not None:
             pairs = pairs.where(F.col("component") != F.col("p.component"))
