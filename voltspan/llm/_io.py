@@ -30,10 +30,16 @@ def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     if free:
         # What was shuffled for it is no longer needed; without this, those files stay until the JVM happens to collect.
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
         for _ in range(3):
             gc.collect()
             spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
+            for _ in range(6):
+                if held.isEmpty():
+                    break
+                time.sleep(0.05)
+            if held.isEmpty():
+                break
     out = spark.read.schema(df.schema).parquet(path)
     out.voltspan_path = path
     return out
