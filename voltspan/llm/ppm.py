@@ -2,12 +2,16 @@
 
 A pretrained trie of byte contexts holds the training texts' counts up to ORDER bytes. A symbol's probability blends the
 orders by escape estimation (method C: as many escapes as distinct symbols) with exclusion: what a longer context has seen
-no longer counts in shorter ones. Since the trie is fixed when texts are scored, each of its contexts is expanded to the
-blended probability of every symbol, and a text's code length is a sum of look-ups; bytes and an end symbol are coded.
+no longer counts in shorter ones. Bytes and an end symbol are coded; a text's code length is the sum over its symbols.
 
-A word unigram with add-one smoothing stands beside it. Its counts cover the whole corpus and are never in one place:
-chunks of documents send their distinct word hashes to parts, which send each chunk the totals of its words, so a word
-that stands in every document crosses once a chunk.
+The trie is never in one place and nothing of it is left out. Chunks of documents send their distinct grams (ORDER bytes
+and the symbol after them) to parts, which add up the corpus counts. Grams whose last three context bytes agree then meet
+in one task, where all their contexts of three bytes and more are complete; counts of shorter contexts are broadcast (at
+most 2 ** 24 entries, since there are no more three-byte strings). So each distinct gram is coded once, and each chunk gets
+back the code lengths of the grams it sent.
+
+A word unigram with add-one smoothing stands beside it. Its counts cover the whole corpus and take the same way: a word
+that stands in every document crosses the exchange once a chunk.
 
 Null text: empty; it has the end token and the end symbol alone. Rows that repeat a doc_id get a row each. Without
 training rows all counts are 0 and bytes are equally likely. An empty table gives an empty result. Further columns are not
@@ -24,16 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltspan.llm._blocks import Block, blocks
+from voltspan.llm._blocks import Block, blocks, mix
 from voltspan.llm._io import materialise, partitions
 from voltspan.llm.langid import held_out
 
 ORDER = 5
-#: Contexts of up to this many symbols are found by one look-up, longer ones by one more for each symbol.
-DIRECT = 3
-#: Most grams of ORDER + 1 bytes and contexts of each order that the trie keeps, the most frequent first.
-MOST_GRAMS, MOST_CONTEXTS = 1_500_000, 50_000
+#: Context bytes whose grams meet in one task; shorter contexts are broadcast.
+MEET = 3
 CHUNK = 16 << 20
+SLICE = 1 << 20
 #: Bytes that no UTF-8 text holds.
 START, END = 0xFE, 0xFF
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, score double"
@@ -57,130 +60,72 @@ def _grams(block: Block) -> np.ndarray:
     return code
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """code, n over training texts."""
+def _low(code: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes of each code."""
+    return code & np.uint64((1 << (8 * k)) - 1)
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, inverse = np.unique(keys, return_inverse=True)
+    return found, np.bincount(inverse, weights=n, minlength=len(found))
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether each is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, n = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        for block in blocks(batches, 4 << 20):
-            found, times = np.unique(_grams(block), return_counts=True)
-            code, inverse = np.unique(np.concatenate((code, found)), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate((n, times))).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["code", "n"])
-
-    return docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Trie:
-    """Blended log10 probabilities: table[row, symbol], and the row of each context of ORDER symbols."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        digits = np.stack([(code >> (8 * (ORDER - k))) & 0xFF for k in range(ORDER + 1)], axis=1).astype(np.int64)
-        seen = np.unique(np.concatenate((digits.ravel(), [START, END])))
-        self.remap = np.zeros(256, dtype=np.int64)  # 0: a byte that training never met
-        self.remap[seen] = np.arange(1, len(seen) + 1)
-        a = self.a = len(seen) + 1
-        digits = self.remap[digits]
-        #: Bytes that the class 0 stands for: all but those seen, and never START or END.
-        unmet = max(1, 256 - len(seen))
-        counts: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        for k in range(ORDER + 1):
-            context = np.zeros(len(digits), dtype=np.int64)
-            for j in range(ORDER - k, ORDER):
-                context = context * a + digits[:, j]
-            key, row = np.unique(context, return_inverse=True)
-            if len(key) > MOST_CONTEXTS:
-                total = np.bincount(row, weights=n)
-                best = np.sort(np.argsort(-total, kind="stable")[:MOST_CONTEXTS])
-                new = np.full(len(key), -1)
-                new[best] = np.arange(len(best))
-                key, row = key[best], new[row]
-            ok = row >= 0
-            table = np.bincount(row[ok] * a + digits[ok, ORDER], weights=n[ok], minlength=len(key) * a).reshape(len(key), a) if len(key) else np.zeros((0, a))
-            if k == 0 and not len(key):
-                key, table = np.zeros(1, dtype=np.int64), np.zeros((1, a))
-            counts.append(table)
-            keys.append(key)
-        rows = []
-        base = [0]
-        for k in range(ORDER + 1):
-            rows.append(self._blend(k, counts, keys, unmet))
-            base.append(base[-1] + len(rows[-1]))
-        self.table = np.concatenate(rows)
-        # A context of DIRECT symbols leads to the row of its longest suffix in the trie.
-        self.row = np.zeros(a**DIRECT, dtype=np.int32)
-        every = np.arange(a**DIRECT, dtype=np.int64)
-        for k in range(1, DIRECT + 1):
-            at = np.searchsorted(keys[k], every % a**k)
-            hit = keys[k][np.minimum(at, len(keys[k]) - 1)] == every % a**k if len(keys[k]) else np.zeros(len(every), dtype=bool)
-            self.row[hit] = base[k] + at[hit]
-        # From a row of order k - 1 and the symbol after it to the row of order k, or -1.
-        self.base, self.steps = base, []
-        for k in range(DIRECT + 1, ORDER + 1):
-            step = np.full((len(keys[k - 1]) + 1) * a, -1, dtype=np.int32)
-            parent = np.searchsorted(keys[k - 1], keys[k] // a)
-            ok = (parent < len(keys[k - 1])) & (keys[k - 1][np.minimum(parent, max(len(keys[k - 1]) - 1, 0))] == keys[k] // a) if len(keys[k - 1]) else np.zeros(len(keys[k]), dtype=bool)
-            step[parent[ok] * a + keys[k][ok] % a] = base[k] + np.flatnonzero(ok)
-            self.steps.append(step)
-
-    def _blend(self, k: int, counts: list, keys: list, unmet: int) -> np.ndarray:
-        a, out = self.a, np.empty((len(keys[k]), self.a), dtype=np.float32)
-        for first in range(0, len(keys[k]), 4096):
-            key = keys[k][first : first + 4096]
-            p = np.zeros((len(key), a))
-            left = np.ones(len(key))
-            free = np.ones((len(key), a), dtype=bool)
-            free[:, self.remap[START]] = False
-            for order in range(k, -1, -1):
-                at = np.searchsorted(keys[order], key % a**order if order else np.zeros_like(key))
-                c = counts[order][at] * free
-                n, q = c.sum(axis=1), (c > 0).sum(axis=1)
-                total = np.maximum(n + q, 1)
-                p += (left / total)[:, None] * c
-                left = np.where(n > 0, left * q / total, left)
-                free &= c == 0
-            # Below all contexts, what no context has seen is equally likely; class 0 stands for several bytes.
-            weight = free.astype(float)
-            weight[:, 0] *= unmet
-            p += (left / weight.sum(axis=1))[:, None] * free
-            out[first : first + len(key)] = np.log10(np.maximum(p, 1e-300))
-        return out
-
-    def scores(self, block: Block) -> np.ndarray:
-        """log10 probability of each text of a block, its end included."""
-        buf = block.buf.copy()
-        buf[block.end] = END
-        symbol = self.remap[buf]
-        start = self.remap[START]
-        context = np.zeros(len(buf), dtype=np.int64)
-        for k in range(DIRECT, 0, -1):
-            before = np.full_like(symbol, start)
-            before[k:] = symbol[:-k]
-            for j in range(k):
-                at = block.start + j
-                before[at[at <= block.end]] = start
-            context = context * self.a + before
-        row = self.row[context]
-        place = row - self.base[DIRECT]
-        for k, step in enumerate(self.steps, DIRECT + 1):
-            # place: of the context of k - 1 symbols among those of its order; negative where the trie has none.
-            longer = np.full(len(buf), -1, dtype=np.int64)
-            longer[1:] = np.where(place[:-1] >= 0, step[np.maximum(place[:-1], 0) * self.a + symbol[:-1]], -1)
-            longer[block.start] = -1
-            row = np.where(longer >= 0, longer, row)
-            place = longer - self.base[k]
-        each = self.table[row, symbol].astype(np.float64)
-        total = np.concatenate(([0.0], np.cumsum(each)))
-        return total[block.end + 1] - total[block.start]
-
-
-def train(docs: DataFrame) -> Trie:
-    rows = gram_counts(docs).orderBy(F.col("n").desc(), "code").limit(MOST_GRAMS).toArrow()
-    return Trie(rows.column("code").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.float64))
-
-
-WORDS = "chunk string, part int, hashes binary, counts binary, docs binary"
+
+def code_lengths(code: np.ndarray, n: np.ndarray, short: np.ndarray, short_n: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of each code after the bytes before it.
+
+    code, n: distinct grams and how often training has them (0: never), with all grams of each context of MEET bytes.
+    short, short_n: training counts of all grams of MEET bytes.
+    """
+    met = n > 0
+    grams, counts = [], []
+    for k in range(ORDER + 1):
+        source = (short, short_n) if k < MEET else (code[met], n[met])
+        key, total = _sums(_low(source[0], k + 1), source[1])
+        grams.append(key)
+        counts.append(total)
+    contexts, total, kinds = [], [], []
+    for k in range(ORDER + 1):
+        key, inverse = np.unique(grams[k] >> np.uint64(8), return_inverse=True)
+        contexts.append(key)
+        total.append(np.bincount(inverse, weights=counts[k], minlength=len(key)))
+        kinds.append(np.bincount(inverse, minlength=len(key)).astype(float))
+    # What the symbols that a context has seen count in the next shorter one. All of them are there.
+    gone = [np.zeros(0)]
+    for k in range(1, ORDER + 1):
+        at, _ = _find(grams[k - 1], _low(grams[k], k))
+        inverse = np.searchsorted(contexts[k], grams[k] >> np.uint64(8))
+        gone.append(np.bincount(inverse, weights=counts[k - 1][at] if len(at) else None, minlength=len(contexts[k])))
+    out, waits = np.zeros(len(code)), np.ones(len(code), dtype=bool)
+    longer: tuple[np.ndarray, np.ndarray] | None = None
+    for k in range(ORDER, -1, -1):
+        at, there = _find(contexts[k], _low(code >> np.uint64(8), k))
+        left, symbols = np.zeros(len(code)), np.zeros(len(code))
+        left[there], symbols[there] = total[k][at[there]], kinds[k][at[there]]
+        if longer is not None:
+            above, hit = longer
+            left[hit] -= gone[k + 1][above[hit]]
+            symbols[hit] -= kinds[k + 1][above[hit]]
+        place, seen = _find(grams[k], _low(code, k + 1))
+        now = waits & seen
+        out[now] += np.log10(counts[k][place[now]] / (left[now] + symbols[now]))
+        waits &= ~seen
+        escapes = waits & (left > 0)
+        out[escapes] += np.log10(symbols[escapes] / (left[escapes] + symbols[escapes]))
+        longer = at, there
+    # What no context has seen is equally likely; START is never coded.
+    out[waits] -= np.log10(255 - len(grams[0]))
+    return out
+
+
+WORDS = "chunk string, part int, hashes binary, counts binary, grams binary, learnt binary, docs binary"
 
 
 def _ipc(table: pa.Table) -> bytes:
@@ -190,41 +135,53 @@ def _ipc(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def word_chunks(docs: DataFrame, trie: Trie, parts: int) -> DataFrame:
-    """For each chunk of documents a row with them (part -1), and a row for each part of its distinct words."""
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
+def _slices(block: Block) -> Iterator[tuple[slice, np.ndarray]]:
+    code = _grams(block)
+    for at in range(0, len(code), SLICE):
+        yield slice(at, at + SLICE), code[at : at + SLICE]
+
+
+def chunks_of(docs: DataFrame, parts: int) -> DataFrame:
+    """For each chunk of documents a row with them (part -1), and a row for each part of its distinct words and grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        grams: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            hashes = np.concatenate([x[0] for x in held])
-            learnt = np.concatenate([x[1] for x in held])
-            n_words = np.concatenate([x[2] for x in held])
-            words, inverse = np.unique(hashes, return_inverse=True)
-            counts = np.bincount(inverse, weights=learnt, minlength=len(words)).astype(np.int64)
+            words, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([x[1] for x in held]), minlength=len(words)).astype("<i4")
             # By part, then by hash: the order in which the totals come back.
             part = (words % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            place = np.empty(len(words), dtype=np.int32)
-            place[order] = np.arange(len(words), dtype=np.int32)
+            place = np.empty(len(words), dtype="<i4")
+            place[order] = np.arange(len(words), dtype="<i4")
             words, counts, part = words[order], counts[order], part[order]
-            table = pa.table({"doc_id": pa.concat_arrays([x[3] for x in held]), "held_out": pa.concat_arrays([x[4] for x in held]), "n": pa.array(n_words), "score": pa.array(np.concatenate([x[5] for x in held]))})
+            code, learnt = _sums(np.concatenate([x[0] for x in grams]), np.concatenate([x[1] for x in grams]))
+            of = (mix(code) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            code, learnt, of = code[order], learnt[order].astype("<i4"), of[order]
+            table = pa.table({"doc_id": pa.concat_arrays([x[3] for x in held]), "held_out": pa.concat_arrays([x[4] for x in held]), "n": pa.array(np.concatenate([x[2] for x in held])), "text": pa.chunked_array([x[5] for x in held], pa.string())})
             chunk = uuid.uuid4().hex
-            rows = [(chunk, -1, b"", place[inverse].astype("<i4").tobytes(), _ipc(table))]
-            edge = np.searchsorted(part, np.arange(parts + 1))
+            rows = [(chunk, -1, b"", place[inverse].tobytes(), b"", b"", _ipc(table))]
+            edge, gram_edge = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(of, np.arange(parts + 1))
             for p in range(parts):
-                if edge[p] < edge[p + 1]:
-                    rows.append((chunk, p, words[edge[p] : edge[p + 1]].tobytes(), counts[edge[p] : edge[p + 1]].astype("<i4").tobytes(), b""))
+                w, g = slice(edge[p], edge[p + 1]), slice(gram_edge[p], gram_edge[p + 1])
+                if w.start < w.stop or g.start < g.stop:
+                    rows.append((chunk, p, words[w].tobytes(), counts[w].tobytes(), code[g].tobytes(), learnt[g].tobytes(), b""))
             held.clear()
-            kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "part", "hashes", "counts", "docs"])
+            grams.clear()
+            kinds = (pa.string(), pa.int32(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in WORDS.split(", ")])
 
         size = 0
         for block in blocks(batches):
             block.words()
-            out = np.array(block.rows.column("held_out").to_pylist(), dtype=bool)
-            held.append((block.word_hashes(lower=True), np.repeat(~out, block.n_words), block.n_words, block.rows.column("doc_id"), block.rows.column("held_out"), shared.value.scores(block)))
+            learnt = ~np.array(block.rows.column("held_out").to_pylist(), dtype=bool)
+            held.append((block.word_hashes(lower=True), np.repeat(learnt, block.n_words), block.n_words, block.rows.column("doc_id"), block.rows.column("held_out"), block.rows.column("text")))
+            weight = np.repeat(learnt, block.end + 1 - block.start)
+            for at, code in _slices(block):
+                grams.append(_sums(code, weight[at]))
             size += len(block.buf)
             if size > CHUNK:
                 yield from flush()
@@ -235,6 +192,40 @@ def word_chunks(docs: DataFrame, trie: Trie, parts: int) -> DataFrame:
     return docs.mapInArrow(run, WORDS)
 
 
+def gram_counts(chunks: DataFrame, parts: int) -> DataFrame:
+    """Each distinct gram: part, meet (where its contexts are complete), code, n in training."""
+
+    def run(table: pa.Table) -> pa.Table:
+        code, n = (np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()]) for c, t in (("grams", "<u8"), ("learnt", "<i4")))
+        code, n = _sums(code, n)
+        meet = (mix(_low(code >> np.uint64(8), MEET)) % np.uint64(parts)).astype(np.int32)
+        part = pa.array(np.full(len(code), table.column("part")[0].as_py(), dtype=np.int32))
+        return pa.table({"part": part, "meet": pa.array(meet), "code": pa.array(code.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    return chunks.where("part >= 0").select("part", "grams", "learnt").groupBy("part").applyInArrow(run, "part int, meet int, code long, n long")
+
+
+def gram_logs(grams: DataFrame) -> DataFrame:
+    """part, code, log: log10 probability of each distinct gram's last byte after the others."""
+    rows = grams.where("n > 0").groupBy(F.expr(f"code & {(1 << 8 * MEET) - 1}").alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    shared = grams.sparkSession.sparkContext.broadcast((rows.column("code").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(float)))
+
+    def run(table: pa.Table) -> pa.Table:
+        logs = code_lengths(table.column("code").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(float), *shared.value)
+        return pa.table({"part": table.column("part"), "code": table.column("code"), "log": pa.array(logs.astype(np.float32))})
+
+    return grams.groupBy("meet").applyInArrow(run, "part int, code long, log float")
+
+
+def _replies(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Of one part: for each chunk, its grams and their logs."""
+    code, log = known.column("code").to_numpy().astype(np.uint64), known.column("log").to_numpy()
+    order = np.argsort(code)
+    code, log = code[order], log[order]
+    back = [log[np.searchsorted(code, np.frombuffer(x, dtype="<u8"))].astype("<f4").tobytes() for x in asked.column("grams").to_pylist()]
+    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "grams": asked.column("grams"), "logs": pa.array(back, pa.binary())})
+
+
 def _totals(table: pa.Table) -> pa.Table:
     """Of one part: for each chunk, the corpus counts of its words in the order in which it sent them."""
     hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
@@ -247,33 +238,53 @@ def _totals(table: pa.Table) -> pa.Table:
 
 
 def _documents(table: pa.Table) -> pa.Table:
-    """Of one chunk: its documents' sums over words."""
+    """Of one chunk: its documents' sums over words and over symbols."""
     kinds = table.column("part").to_pylist()
     own = kinds.index(-1)
-    at = [i for i in sorted(range(len(kinds)), key=kinds.__getitem__) if i != own]
-    total = np.concatenate([np.frombuffer(table.column("totals")[i].as_py(), dtype="<i8") for i in at]) if at else np.empty(0, dtype=np.int64)
+    order = sorted(range(len(kinds)), key=kinds.__getitem__)
+
+    def joined(name: str, kind: str) -> np.ndarray:
+        found = [table.column(name)[i].as_py() for i in order]
+        return np.frombuffer(b"".join(x for x in found if x), dtype=kind)
+
+    total = joined("totals", "<i8")
     index = np.frombuffer(table.column("words")[own].as_py(), dtype="<i4")
     docs = pa.ipc.open_stream(table.column("docs")[own].as_py()).read_all()
     n = docs.column("n").to_numpy()
     edge = np.concatenate(([0], np.cumsum(n)))
     logs = np.concatenate(([0.0], np.cumsum(np.log10(total + 1.0)[index])))
     known = np.concatenate(([0], np.cumsum((total > 0)[index])))
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array((known[edge[1:]] - known[edge[:-1]]).astype(np.int64)), "sum_log": pa.array(logs[edge[1:]] - logs[edge[:-1]]), "score": docs.column("score")})
+    code, log = joined("grams", "<u8"), joined("logs", "<f4")
+    by_code = np.argsort(code)
+    code, log = code[by_code], log[by_code].astype(float)
+    scores: list[np.ndarray] = []
+    for block in blocks(iter(docs.select(["text"]).to_batches())):
+        each = np.empty(len(block.buf))
+        for at, found in _slices(block):
+            each[at] = log[np.searchsorted(code, found)]
+        scores.append(np.add.reduceat(each, block.start))
+    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array((known[edge[1:]] - known[edge[:-1]]).astype(np.int64)), "sum_log": pa.array(logs[edge[1:]] - logs[edge[:-1]]), "score": pa.array(np.concatenate(scores))})
 
 
 def score(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(docs, 7), F.lit(False)).alias("held_out"), "text")
     learnt = rows.where(~F.col("held_out"))
-    trie = train(learnt)
     n_learnt = learnt.select("held_out").count()
     parts = partitions(docs.sparkSession)
-    chunks = materialise(word_chunks(rows, trie, parts), "ppm-chunks")
-    words = chunks.where("part >= 0").select("chunk", "part", "hashes", "counts")
+    chunks = materialise(chunks_of(rows, parts), "ppm-chunks")
+    asked = chunks.where("part >= 0")
+    grams = materialise(gram_counts(chunks, parts), "ppm-grams")
+    logs = gram_logs(grams).groupBy("part")
+    replies = asked.select("chunk", "part", "grams").groupBy("part").cogroup(logs).applyInArrow(_replies, "chunk string, part int, grams binary, logs binary")
+    words = asked.select("chunk", "part", "hashes", "counts")
     totals = materialise(words.groupBy("part").applyInArrow(_totals, "chunk string, part int, totals binary, n long, v long"), "ppm-totals")
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + n_learnt, v + (n_learnt > 0)
-    both = totals.select("chunk", "part", "totals", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("docs")).unionByName(chunks.where("part = -1").select("chunk", "part", F.lit(None).cast("binary").alias("totals"), F.col("counts").alias("words"), "docs"))
+    none = F.lit(None).cast("binary")
+    columns = ("totals", "grams", "logs", "words", "docs")
+    row = lambda df, **have: df.select("chunk", "part", *(F.col(have[c]).alias(c) if c in have else none.alias(c) for c in columns))
+    both = row(totals, totals="totals").unionByName(row(replies, grams="grams", logs="logs")).unionByName(row(chunks.where("part = -1"), words="counts", docs="docs"))
     found = both.groupBy("chunk").applyInArrow(_documents, SCHEMA)
     n_tokens = F.col("n_tokens") + 1
     return found.select(
