@@ -35,29 +35,31 @@ from voltspan.llm.langid import held_out
 ORDER = 5
 #: Context bytes whose grams meet in one task; shorter contexts are broadcast.
 MEET = 3
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 SLICE = 1 << 20
 #: Bytes that no UTF-8 text holds.
 START, END = 0xFE, 0xFF
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, score double"
 
 
-def _grams(block: Block) -> np.ndarray:
-    """Codes of ORDER + 1 bytes that end at each byte of the texts and at their ends."""
-    buf = block.buf.copy()
-    buf[block.end] = END
-    padded = np.concatenate((np.full(ORDER, START, np.uint8), buf)).astype(np.uint64)
-    code = np.zeros(len(buf), dtype=np.uint64)
-    for k in range(ORDER + 1):
-        code = (code << np.uint64(8)) | padded[k : k + len(buf)]
-    # The first bytes of a text (and the END of a short one) see START where the array has the text before.
-    for k in range(ORDER):
-        at = block.start + k
-        at = at[at <= block.end]
-        keep = np.uint64((1 << (8 * (k + 1))) - 1)
-        fill = np.uint64(sum(START << (8 * j) for j in range(k + 1, ORDER + 1)))
-        code[at] = (code[at] & keep) | fill
-    return code
+def _grams(block: Block) -> Iterator[tuple[int, np.ndarray]]:
+    """Codes of ORDER + 1 bytes that end at each byte of the texts and at their ends: slices, and where they start."""
+    buf = np.concatenate((np.full(ORDER, START, np.uint8), block.buf))
+    buf[block.end + ORDER] = END
+    for first in range(0, len(block.buf), SLICE):
+        last = min(first + SLICE, len(block.buf))
+        padded = buf[first : last + ORDER].astype(np.uint64)
+        code = np.zeros(last - first, dtype=np.uint64)
+        for k in range(ORDER + 1):
+            code = (code << np.uint64(8)) | padded[k : k + len(code)]
+        # The first bytes of a text (and the END of a short one) see START where the array has the text before.
+        for k in range(ORDER):
+            at = block.start + k
+            at = at[(at <= block.end) & (first <= at) & (at < last)] - first
+            keep = np.uint64((1 << (8 * (k + 1))) - 1)
+            fill = np.uint64(sum(START << (8 * j) for j in range(k + 1, ORDER + 1)))
+            code[at] = (code[at] & keep) | fill
+        yield first, code
 
 
 def _low(code: np.ndarray, k: int) -> np.ndarray:
@@ -135,10 +137,23 @@ def _ipc(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _slices(block: Block) -> Iterator[tuple[slice, np.ndarray]]:
-    code = _grams(block)
-    for at in range(0, len(code), SLICE):
-        yield slice(at, at + SLICE), code[at : at + SLICE]
+def _by_part(code: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct sorted codes by part, then by code, and where each part starts in it."""
+    part = (mix(code) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _pack(code: np.ndarray) -> bytes:
+    """Sorted codes as differences, byte plane by byte plane, which compresses well."""
+    return np.diff(code, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(ORDER + 1, len(data) // (ORDER + 1))
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : ORDER + 1] = planes.T
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def chunks_of(docs: DataFrame, parts: int) -> DataFrame:
@@ -148,6 +163,9 @@ def chunks_of(docs: DataFrame, parts: int) -> DataFrame:
         held: list[tuple] = []
         grams: list[tuple] = []
 
+        def merge() -> None:
+            grams[:] = [_sums(np.concatenate([x[0] for x in grams]), np.concatenate([x[1] for x in grams]))]
+
         def flush() -> Iterator[pa.RecordBatch]:
             words, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
             counts = np.bincount(inverse, weights=np.concatenate([x[1] for x in held]), minlength=len(words)).astype("<i4")
@@ -157,18 +175,18 @@ def chunks_of(docs: DataFrame, parts: int) -> DataFrame:
             place = np.empty(len(words), dtype="<i4")
             place[order] = np.arange(len(words), dtype="<i4")
             words, counts, part = words[order], counts[order], part[order]
-            code, learnt = _sums(np.concatenate([x[0] for x in grams]), np.concatenate([x[1] for x in grams]))
-            of = (mix(code) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            code, learnt, of = code[order], learnt[order].astype("<i4"), of[order]
+            merge()
+            code, learnt = grams[0]
+            order, gram_edge = _by_part(code, parts)
+            code, learnt = code[order], learnt[order].astype("<i4")
             table = pa.table({"doc_id": pa.concat_arrays([x[3] for x in held]), "held_out": pa.concat_arrays([x[4] for x in held]), "n": pa.array(np.concatenate([x[2] for x in held])), "text": pa.chunked_array([x[5] for x in held], pa.string())})
             chunk = uuid.uuid4().hex
             rows = [(chunk, -1, b"", place[inverse].tobytes(), b"", b"", _ipc(table))]
-            edge, gram_edge = np.searchsorted(part, np.arange(parts + 1)), np.searchsorted(of, np.arange(parts + 1))
+            edge = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 w, g = slice(edge[p], edge[p + 1]), slice(gram_edge[p], gram_edge[p + 1])
                 if w.start < w.stop or g.start < g.stop:
-                    rows.append((chunk, p, words[w].tobytes(), counts[w].tobytes(), code[g].tobytes(), learnt[g].tobytes(), b""))
+                    rows.append((chunk, p, words[w].tobytes(), counts[w].tobytes(), _pack(code[g]), learnt[g].tobytes(), b""))
             held.clear()
             grams.clear()
             kinds = (pa.string(), pa.int32(), *[pa.binary()] * 5)
@@ -180,8 +198,10 @@ def chunks_of(docs: DataFrame, parts: int) -> DataFrame:
             learnt = ~np.array(block.rows.column("held_out").to_pylist(), dtype=bool)
             held.append((block.word_hashes(lower=True), np.repeat(learnt, block.n_words), block.n_words, block.rows.column("doc_id"), block.rows.column("held_out"), block.rows.column("text")))
             weight = np.repeat(learnt, block.end + 1 - block.start)
-            for at, code in _slices(block):
-                grams.append(_sums(code, weight[at]))
+            for at, code in _grams(block):
+                grams.append(_sums(code, weight[at : at + len(code)]))
+                if sum(len(x[0]) for x in grams[1:]) > SLICE:
+                    merge()
             size += len(block.buf)
             if size > CHUNK:
                 yield from flush()
@@ -196,8 +216,8 @@ def gram_counts(chunks: DataFrame, parts: int) -> DataFrame:
     """Each distinct gram: part, meet (where its contexts are complete), code, n in training."""
 
     def run(table: pa.Table) -> pa.Table:
-        code, n = (np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()]) for c, t in (("grams", "<u8"), ("learnt", "<i4")))
-        code, n = _sums(code, n)
+        code = np.concatenate([_unpack(x) for x in table.column("grams").to_pylist()])
+        code, n = _sums(code, np.concatenate([np.frombuffer(x, dtype="<i4") for x in table.column("learnt").to_pylist()]))
         meet = (mix(_low(code >> np.uint64(8), MEET)) % np.uint64(parts)).astype(np.int32)
         part = pa.array(np.full(len(code), table.column("part")[0].as_py(), dtype=np.int32))
         return pa.table({"part": part, "meet": pa.array(meet), "code": pa.array(code.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
@@ -218,12 +238,12 @@ def gram_logs(grams: DataFrame) -> DataFrame:
 
 
 def _replies(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """Of one part: for each chunk, its grams and their logs."""
+    """Of one part: for each chunk, the logs of its grams in the order in which it sent them."""
     code, log = known.column("code").to_numpy().astype(np.uint64), known.column("log").to_numpy()
     order = np.argsort(code)
     code, log = code[order], log[order]
-    back = [log[np.searchsorted(code, np.frombuffer(x, dtype="<u8"))].astype("<f4").tobytes() for x in asked.column("grams").to_pylist()]
-    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "grams": asked.column("grams"), "logs": pa.array(back, pa.binary())})
+    back = [log[np.searchsorted(code, _unpack(x))].astype("<f4").tobytes() for x in asked.column("grams").to_pylist()]
+    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "logs": pa.array(back, pa.binary())})
 
 
 def _totals(table: pa.Table) -> pa.Table:
@@ -237,7 +257,7 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "totals": pa.array([x.astype("<i8").tobytes() for x in back], pa.binary()), "n": pa.array([known[0] if i == 0 else 0 for i in range(len(back))], pa.int64()), "v": pa.array([known[1] if i == 0 else 0 for i in range(len(back))], pa.int64())})
 
 
-def _documents(table: pa.Table) -> pa.Table:
+def _documents(table: pa.Table, parts: int) -> pa.Table:
     """Of one chunk: its documents' sums over words and over symbols."""
     kinds = table.column("part").to_pylist()
     own = kinds.index(-1)
@@ -254,15 +274,22 @@ def _documents(table: pa.Table) -> pa.Table:
     edge = np.concatenate(([0], np.cumsum(n)))
     logs = np.concatenate(([0.0], np.cumsum(np.log10(total + 1.0)[index])))
     known = np.concatenate(([0], np.cumsum((total > 0)[index])))
-    code, log = joined("grams", "<u8"), joined("logs", "<f4")
-    by_code = np.argsort(code)
-    code, log = code[by_code], log[by_code].astype(float)
-    scores: list[np.ndarray] = []
-    for block in blocks(iter(docs.select(["text"]).to_batches())):
-        each = np.empty(len(block.buf))
-        for at, found in _slices(block):
-            each[at] = log[np.searchsorted(code, found)]
-        scores.append(np.add.reduceat(each, block.start))
+    text = docs.select(["text"]).to_batches()
+    code = np.empty(0, dtype=np.uint64)
+    for block in blocks(iter(text)):
+        for _, found in _grams(block):
+            code = np.union1d(code, found)
+    log = np.empty(len(code))
+    log[_by_part(code, parts)[0]] = joined("logs", "<f4")
+    scores = []
+    for block in blocks(iter(text)):
+        total = np.zeros(len(block))
+        for at, found in _grams(block):
+            # The text that the slice starts in, and those that start in the slice.
+            own = np.searchsorted(block.start, at, side="right") - 1
+            starts = np.maximum(block.start[own : np.searchsorted(block.start, at + len(found))] - at, 0)
+            total[own : own + len(starts)] += np.add.reduceat(log[np.searchsorted(code, found)], starts)
+        scores.append(total)
     return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array((known[edge[1:]] - known[edge[:-1]]).astype(np.int64)), "sum_log": pa.array(logs[edge[1:]] - logs[edge[:-1]]), "score": pa.array(np.concatenate(scores))})
 
 
@@ -274,18 +301,19 @@ def score(docs: DataFrame) -> DataFrame:
     parts = partitions(docs.sparkSession)
     chunks = materialise(chunks_of(rows, parts), "ppm-chunks")
     asked = chunks.where("part >= 0")
-    grams = materialise(gram_counts(chunks, parts), "ppm-grams")
+    grams = materialise(gram_counts(chunks, parts), "ppm-grams", free=True)
     logs = gram_logs(grams).groupBy("part")
-    replies = asked.select("chunk", "part", "grams").groupBy("part").cogroup(logs).applyInArrow(_replies, "chunk string, part int, grams binary, logs binary")
+    replies = asked.select("chunk", "part", "grams").groupBy("part").cogroup(logs).applyInArrow(_replies, "chunk string, part int, logs binary")
+    replies = materialise(replies, "ppm-replies", free=True)
     words = asked.select("chunk", "part", "hashes", "counts")
-    totals = materialise(words.groupBy("part").applyInArrow(_totals, "chunk string, part int, totals binary, n long, v long"), "ppm-totals")
+    totals = materialise(words.groupBy("part").applyInArrow(_totals, "chunk string, part int, totals binary, n long, v long"), "ppm-totals", free=True)
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + n_learnt, v + (n_learnt > 0)
     none = F.lit(None).cast("binary")
-    columns = ("totals", "grams", "logs", "words", "docs")
+    columns = ("totals", "logs", "words", "docs")
     row = lambda df, **have: df.select("chunk", "part", *(F.col(have[c]).alias(c) if c in have else none.alias(c) for c in columns))
-    both = row(totals, totals="totals").unionByName(row(replies, grams="grams", logs="logs")).unionByName(row(chunks.where("part = -1"), words="counts", docs="docs"))
-    found = both.groupBy("chunk").applyInArrow(_documents, SCHEMA)
+    both = row(totals, totals="totals").unionByName(row(replies, logs="logs")).unionByName(row(chunks.where("part = -1"), words="counts", docs="docs"))
+    found = both.groupBy("chunk").applyInArrow(lambda group: _documents(group, parts), SCHEMA)
     n_tokens = F.col("n_tokens") + 1
     return found.select(
         "doc_id",
