@@ -132,7 +132,7 @@ WORDS = "chunk string, part int, hashes binary, counts binary, grams binary, lea
 
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -172,8 +172,6 @@ def chunks_of(docs: DataFrame, parts: int) -> DataFrame:
             # By part, then by hash: the order in which the totals come back.
             part = (words % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            place = np.empty(len(words), dtype="<i4")
-            place[order] = np.arange(len(words), dtype="<i4")
             words, counts, part = words[order], counts[order], part[order]
             merge()
             code, learnt = grams[0]
@@ -181,7 +179,7 @@ def chunks_of(docs: DataFrame, parts: int) -> DataFrame:
             code, learnt = code[order], learnt[order].astype("<i4")
             table = pa.table({"doc_id": pa.concat_arrays([x[3] for x in held]), "held_out": pa.concat_arrays([x[4] for x in held]), "n": pa.array(np.concatenate([x[2] for x in held])), "text": pa.chunked_array([x[5] for x in held], pa.string())})
             chunk = uuid.uuid4().hex
-            rows = [(chunk, -1, b"", place[inverse].tobytes(), b"", b"", _ipc(table))]
+            rows = [(chunk, -1, b"", b"", b"", b"", _ipc(table))]
             edge = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 w, g = slice(edge[p], edge[p + 1]), slice(gram_edge[p], gram_edge[p + 1])
@@ -267,14 +265,19 @@ def _documents(table: pa.Table, parts: int) -> pa.Table:
         found = [table.column(name)[i].as_py() for i in order]
         return np.frombuffer(b"".join(x for x in found if x), dtype=kind)
 
-    total = joined("totals", "<i8")
-    index = np.frombuffer(table.column("words")[own].as_py(), dtype="<i4")
     docs = pa.ipc.open_stream(table.column("docs")[own].as_py()).read_all()
     n = docs.column("n").to_numpy()
+    text = docs.select(["text"]).to_batches()
+    hashes = []
+    for block in blocks(iter(text)):
+        block.words()
+        hashes.append(block.word_hashes(lower=True))
+    words, index = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.empty(len(words), dtype=np.int64)
+    total[np.argsort(words % np.uint64(parts), kind="stable")] = joined("totals", "<i8")
     edge = np.concatenate(([0], np.cumsum(n)))
     logs = np.concatenate(([0.0], np.cumsum(np.log10(total + 1.0)[index])))
     known = np.concatenate(([0], np.cumsum((total > 0)[index])))
-    text = docs.select(["text"]).to_batches()
     code = np.empty(0, dtype=np.uint64)
     for block in blocks(iter(text)):
         for _, found in _grams(block):
@@ -310,9 +313,9 @@ def score(docs: DataFrame) -> DataFrame:
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + n_learnt, v + (n_learnt > 0)
     none = F.lit(None).cast("binary")
-    columns = ("totals", "logs", "words", "docs")
+    columns = ("totals", "logs", "docs")
     row = lambda df, **have: df.select("chunk", "part", *(F.col(have[c]).alias(c) if c in have else none.alias(c) for c in columns))
-    both = row(totals, totals="totals").unionByName(row(replies, logs="logs")).unionByName(row(chunks.where("part = -1"), words="counts", docs="docs"))
+    both = row(totals, totals="totals").unionByName(row(replies, logs="logs")).unionByName(row(chunks.where("part = -1"), docs="docs"))
     found = both.groupBy("chunk").applyInArrow(lambda group: _documents(group, parts), SCHEMA)
     n_tokens = F.col("n_tokens") + 1
     return found.select(
