@@ -278,21 +278,20 @@ def _documents(table: pa.Table, parts: int) -> pa.Table:
     edge = np.concatenate(([0], np.cumsum(n)))
     logs = np.concatenate(([0.0], np.cumsum(np.log10(total + 1.0)[index])))
     known = np.concatenate(([0], np.cumsum((total > 0)[index])))
-    code = np.empty(0, dtype=np.uint64)
+    held, scores = [], []
     for block in blocks(iter(text)):
-        for _, found in _grams(block):
-            code = np.union1d(code, found)
-    log = np.empty(len(code))
-    log[_by_part(code, parts)[0]] = joined("logs", "<f4")
-    scores = []
-    for block in blocks(iter(text)):
-        total = np.zeros(len(block))
+        scores.append(np.zeros(len(block)))
         for at, found in _grams(block):
+            kinds, inverse = np.unique(found, return_inverse=True)
             # The text that the slice starts in, and those that start in the slice.
             own = np.searchsorted(block.start, at, side="right") - 1
             starts = np.maximum(block.start[own : np.searchsorted(block.start, at + len(found))] - at, 0)
-            total[own : own + len(starts)] += np.add.reduceat(log[np.searchsorted(code, found)], starts)
-        scores.append(total)
+            held.append((kinds, inverse.astype(np.int32), scores[-1][own : own + len(starts)], starts))
+    code = np.unique(np.concatenate([x[0] for x in held]))
+    log = np.empty(len(code))
+    log[_by_part(code, parts)[0]] = joined("logs", "<f4")
+    for kinds, inverse, total, starts in held:
+        total += np.add.reduceat(log[np.searchsorted(code, kinds)][inverse], starts)
     return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array((known[edge[1:]] - known[edge[:-1]]).astype(np.int64)), "sum_log": pa.array(logs[edge[1:]] - logs[edge[:-1]]), "score": pa.array(np.concatenate(scores))})
 
 
