@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PARTS = 64
+
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by a table in the shared folder, or by a reliable checkpoint where none is named."""
@@ -29,7 +30,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         near = both.join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
         spread = label.join(near, "a").select("a", F.least("c", "m").alias("c"))
-        jumped = settle(spread.join(spread.select(F.col("a").alias("c"), F.col("c").alias("cc")), "c").select("a", F.least("c", "cc").alias("c"), F.col("c").alias("_c")).select("a", "c"), "labels")
+        spread = settle(spread, "labels")
+        # Most nodes of a large component share one label, so jumps are dealt by label and part of the node.
+        jumps = spread.select("c").distinct().join(spread.select(F.col("a").alias("c"), F.col("c").alias("cc")), "c").where("cc < c").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        jumped = settle(spread.withColumn("part", F.pmod(F.hash("a"), F.lit(PARTS))).join(jumps, ["c", "part"], "left").select("a", F.coalesce("cc", "c").alias("c")), "labels")
         moved = jumped.join(label.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count()
         label = jumped
         if not moved:
@@ -37,46 +41,41 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _bridges(group: pd.DataFrame) -> pd.DataFrame:
-    """Bridges of one component by low links; parallel edges are none, since only the edge itself is passed over."""
-    nodes, flat = np.unique(np.concatenate([group["a"], group["b"]]), return_inverse=True)
-    a, b = flat[: len(group)], flat[len(group) :]
-    beside: list[list[tuple[int, int]]] = [[] for _ in nodes]
-    for e, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        beside[x].append((y, e))
-        beside[y].append((x, e))
-    order, low, found = [-1] * len(nodes), [0] * len(nodes), []
-    for root in range(len(nodes)):
-        if order[root] >= 0:
-            continue
-        clock = order[root] = low[root] = max(order) + 1
-        stack = [(root, -1, iter(beside[root]))]
-        while stack:
-            node, via, rest = stack[-1]
-            for to, e in rest:
-                if e == via:
-                    continue
-                if order[to] < 0:
-                    clock += 1
-                    order[to] = low[to] = clock
-                    stack.append((to, e, iter(beside[to])))
-                    break
-                low[node] = min(low[node], order[to])
-            else:
-                stack.pop()
-                if stack:
-                    parent = stack[-1][0]
-                    low[parent] = min(low[parent], low[node])
-                    if low[node] > order[parent]:
-                        found.append(via)
-    out = group.iloc[sorted(found)]
-    return out[["component", "a", "b"]]
-
-
 def bridges(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """component, a, b of edges whose loss splits their component."""
-    named = edges.join(labels.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b")
-    return named.groupBy("component").applyInPandas(_bridges, "component long, a long, b long")
+    """component, a, b of edges whose loss splits their component; parallel edges and loops are none.
+
+    A search by levels from the least node of each component gives a tree. Every edge beside it covers the tree's path between
+    its ends; such pairs climb level by level from the deepest, and tree edges that none covers are bridges. There are two
+    rounds a level, and no task needs a whole component.
+    """
+    edge = settle(edges.where("a <> b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("a").alias("a"), F.min("b").alias("b"), F.count("*").alias("k")), "edges")
+    both = settle(edge.select(F.col("u").alias("x"), F.col("v").alias("node")).unionByName(edge.select(F.col("v").alias("x"), F.col("u").alias("node"))), "both")
+    levels = [settle(labels.where("node = component").select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")), "level")]
+    while not levels[-1].isEmpty():
+        reached = both.join(levels[-1].select(F.col("node").alias("x")), "x").groupBy("node").agg(F.min("x").alias("parent"))
+        # Neighbours of a level lie in it, the one before or the next.
+        for past in levels[-2:]:
+            reached = reached.join(past, "node", "left_anti")
+        levels.append(settle(reached.select("node", F.col("parent").cast("long").alias("parent"), F.lit(len(levels)).alias("depth")), "level"))
+    levels = levels[:-1] or levels
+    tree = functools.reduce(DataFrame.unionByName, levels)
+    end = lambda c: tree.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}"), F.col("depth").alias(f"d{c}"))
+    beside = edge.join(end("u"), "u").join(end("v"), "v").where("k > 1 or not (coalesce(pu = v, false) or coalesce(pv = u, false))")
+    deeper = F.col("du") >= F.col("dv")
+    beside = settle(beside.select(F.when(deeper, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(deeper, F.col("v")).otherwise(F.col("u")).alias("y"), F.greatest("du", "dv").alias("depth"), (F.col("du") == F.col("dv")).alias("level")), "beside")
+    climbing, bare = None, []
+    for d in range(len(levels) - 1, 0, -1):
+        pairs = beside.where(F.col("depth") == d).select("x", "y", "level")
+        pairs = pairs if climbing is None else pairs.unionByName(climbing)
+        covered = pairs.select(F.col("x").alias("node")).unionByName(pairs.where("level").select(F.col("y").alias("node"))).distinct()
+        bare.append(settle(levels[d].join(covered, "node", "left_anti").select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v")), "bare"))
+        up = levels[d].select(F.col("node").alias("x"), F.col("parent").alias("px"))
+        moved = pairs.join(up, "x").join(up.select(F.col("x").alias("y"), F.col("px").alias("py")), "y", "left").select("px", F.coalesce("py", "y").alias("py"))
+        climbing = settle(moved.where("px <> py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y"), F.lit(True).alias("level")).distinct(), "climbing")
+    if not bare:
+        return edge.join(labels.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b").limit(0)
+    found = edge.join(functools.reduce(DataFrame.unionByName, bare), ["u", "v"]).select("a", "b")
+    return found.join(labels.select(F.col("node").alias("a"), "component"), "a").select(*[F.col(c).cast("long").alias(c) for c in ("component", "a", "b")])
 
 
 def within(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

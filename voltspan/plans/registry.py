@@ -283,6 +283,12 @@ def _edges(t) -> DataFrame:
     return t.lineitem.where("l_orderkey % 300 = 0").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
 
 
+def _all_edges(t) -> DataFrame:
+    """All links between suppliers and parts: one component holds nearly all nodes."""
+    return t.lineitem.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
+
+
+_ALL_EDGES = "e as (select distinct l_suppkey * 2 a, l_partkey * 2 + 1 b from lineitem), d as (select a, b from e union all select b, a from e)"
 _EDGES = "e as (select distinct l_suppkey * 2 a, l_partkey * 2 + 1 b from lineitem where l_orderkey % 300 = 0), d as (select a, b from e union all select b, a from e)"
 
 
@@ -293,25 +299,56 @@ def components_bipartite(t):
 
 @query(f"with recursive {_EDGES}, r as (select a node, a tip from d union select node, b from r join d on d.a = r.tip), c as (select node, min(tip) component from r group by 1) select component, count(distinct node)::bigint n_nodes, count(*) filter (node % 2 = 0)::bigint n_suppliers, max(node) largest from c group by 1")
 def component_stats(t):
-    return graph.components(_edges(t)).groupBy("component").agg(n("n_nodes"), F.count_if(F.col("node") % 2 == 0).cast("long").alias("n_suppliers"), F.max("node").alias("largest"))
+    return _component_stats(graph.components(_edges(t)))
+
+
+def _component_stats(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("component").agg(n("n_nodes"), F.count_if(F.col("node") % 2 == 0).cast("long").alias("n_suppliers"), F.max("node").alias("largest"))
 
 
 @query()
 def bridges(t):
-    edges = _edges(t)
+    edges = _all_edges(t)
     return graph.bridges(edges, graph.components(edges)).orderBy("a", "b")
 
 
+@query()
+def components_whole(t):
+    return graph.components(_all_edges(t))
+
+
+@query()
+def component_stats_whole(t):
+    return _component_stats(graph.components(_all_edges(t)))
+
+
 @query(f"with recursive {_EDGES}, r as (select min(a) node, 0 hops from e union select b, hops + 1 from r join d on d.a = r.node where hops < 4) select node, min(hops)::bigint hops from r group by 1")
 def bfs_bounded(t):
-    edges = _edges(t)
+    return _four_hops(_edges(t))
+
+
+def _four_hops(edges: DataFrame) -> DataFrame:
     return graph.within(edges, edges.agg(F.min("a").alias("node")), 4)
 
 
+@query(f"with recursive {_ALL_EDGES}, r as (select min(a) node, 0 hops from e union select b, hops + 1 from r join d on d.a = r.node where hops < 4) select node, min(hops)::bigint hops from r group by 1")
+def bfs_bounded_whole(t):
+    return _four_hops(_all_edges(t))
+
+
 @query(f"with {_EDGES}, s as (select a i, a j, 1 y from e union all select b, b, 1 from e union all select a, b, -1 from e union all select b, a, -1 from e) select i, j, sum(y)::bigint y from s group by all")
 def ybus_assembly(t):
+    return _ybus(_edges(t))
+
+
+def _ybus(edges: DataFrame) -> DataFrame:
     stamp = lambda i, j, y: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(y).alias("y"))
-    return _edges(t).select(F.explode(F.array(stamp("a", "a", 1), stamp("b", "b", 1), stamp("a", "b", -1), stamp("b", "a", -1))).alias("s")).groupBy("s.i", "s.j").agg(F.sum("s.y").cast("long").alias("y"))
+    return edges.select(F.explode(F.array(stamp("a", "a", 1), stamp("b", "b", 1), stamp("a", "b", -1), stamp("b", "a", -1))).alias("s")).groupBy("s.i", "s.j").agg(F.sum("s.y").cast("long").alias("y"))
+
+
+@query(f"with {_ALL_EDGES}, s as (select a i, a j, 1 y from e union all select b, b, 1 from e union all select a, b, -1 from e union all select b, a, -1 from e) select i, j, sum(y)::bigint y from s group by all")
+def ybus_assembly_whole(t):
+    return _ybus(_all_edges(t))
 
 
 @query("select k::bigint nation, round(sum(v), 4) injection from (select c_nationkey k, -c_acctbal v from customer union all select s_nationkey, s_acctbal from supplier) group by 1")
