@@ -168,10 +168,13 @@ def set_keyed_match(t):
 
 @query("select 'union' op, k::bigint k from (select c_nationkey k from customer where c_custkey % 3 = 0 union select s_nationkey from supplier) union all select 'except', k from (select c_nationkey k from customer where c_custkey % 3 = 0 except select s_nationkey from supplier where s_suppkey % 4 = 0) union all select 'intersect', k from (select c_nationkey k from customer where c_custkey % 3 = 0 intersect select s_nationkey from supplier where s_suppkey % 4 = 0)")
 def set_ops(t):
-    c = t.customer.where("c_custkey % 3 = 0").select(F.col("c_nationkey").cast("long").alias("k"))
-    s = t.supplier.select(F.col("s_nationkey").cast("long").alias("k"), "s_suppkey")
-    some = s.where("s_suppkey % 4 = 0").select("k")
-    parts = {"union": c.union(s.select("k")).distinct(), "except": c.subtract(some), "intersect": c.intersect(some)}
+    return _set_ops(t.customer.where("c_custkey % 3 = 0"), t.supplier, t.supplier.where("s_suppkey % 4 = 0"))
+
+
+def _set_ops(customers: DataFrame, suppliers: DataFrame, others: DataFrame) -> DataFrame:
+    c = customers.select(F.col("c_nationkey").cast("long").alias("k"))
+    s, some = (x.select(F.col("s_nationkey").cast("long").alias("k")) for x in (suppliers, others))
+    parts = {"union": c.union(s).distinct(), "except": c.subtract(some), "intersect": c.intersect(some)}
     out = None
     for name, df in parts.items():
         df = df.select(F.lit(name).alias("op"), "k")
@@ -179,6 +182,11 @@ def set_ops(t):
     return out
 
 
+@query("select 'union' op, k::bigint k from (select c_nationkey k from customer union select s_nationkey from supplier) union all select 'except', k from (select c_nationkey k from customer except select s_nationkey from supplier) union all select 'intersect', k from (select c_nationkey k from customer intersect select s_nationkey from supplier)")
+def set_ops_whole(t):
+    return _set_ops(t.customer, t.supplier, t.supplier)
+
+
 @query("select l_suppkey, l_orderkey, l_linenumber, r::bigint as rank from (select *, row_number() over (partition by l_suppkey order by coalesce(case when l_orderkey % 9 = 0 then null else l_extendedprice end, -1) desc, abs(l_discount) desc, l_orderkey, l_linenumber, l_partkey) r from lineitem) where r <= 10")
 def topk_impacts(t):
     loading = F.coalesce(F.when(F.col("l_orderkey") % 9 != 0, F.col("l_extendedprice")), F.lit(-1.0))
@@ -384,7 +392,16 @@ def short_circuit(t):
 
 @query("select l_orderkey, l_linenumber, l_partkey, metric, value from (select l_orderkey, l_linenumber, l_partkey, l_quantity quantity, l_discount discount, l_tax tax from lineitem where l_orderkey % 5 = 0) unpivot (value for metric in (quantity, discount, tax))")
 def unpivot_metrics(t):
-    return t.lineitem.where("l_orderkey % 5 = 0").unpivot(["l_orderkey", "l_linenumber", "l_partkey"], [F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax")], "metric", "value")
+    return _metrics(t.lineitem.where("l_orderkey % 5 = 0"))
+
+
+def _metrics(lines: DataFrame) -> DataFrame:
+    return lines.unpivot(["l_orderkey", "l_linenumber", "l_partkey"], [F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax")], "metric", "value")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, metric, value from (select l_orderkey, l_linenumber, l_partkey, l_quantity quantity, l_discount discount, l_tax tax from lineitem) unpivot (value for metric in (quantity, discount, tax))")
+def unpivot_metrics_whole(t):
+    return _metrics(t.lineitem)
 
 
 @query("select vec_id, len(embedding)::bigint n, round(list_sum(list_transform(embedding[1:4], lambda x: x::double)), 4) + 0.0 as head from embeddings")
