@@ -406,9 +406,19 @@ def unpivot_metrics_whole(t):
 
 @query("select vec_id, len(embedding)::bigint n, round(list_sum(list_transform(embedding[1:4], lambda x: x::double)), 4) + 0.0 as head from embeddings")
 def matrix_to_points(t):
+    return _points(t).select("vec_id", F.size("p").cast("long").alias("n"), (F.round(F.aggregate(F.slice("p", 1, 4), F.lit(0.0), lambda acc, x: acc + x["val"].cast("double")), 4) + F.lit(0.0)).alias("head"))
+
+
+def _points(t) -> DataFrame:
     cells = t.embeddings.select("vec_id", F.posexplode("embedding").alias("col", "val"))
-    points = cells.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("p"))
-    return points.select("vec_id", F.size("p").cast("long").alias("n"), (F.round(F.aggregate(F.slice("p", 1, 4), F.lit(0.0), lambda acc, x: acc + x["val"].cast("double")), 4) + F.lit(0.0)).alias("head"))
+    return cells.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("p"))
+
+
+@query("select vec_id, len(embedding)::bigint n, array_to_string(list_transform(embedding, lambda x: floor(x::double * 1e9)::bigint), ',') as points from embeddings")
+def matrix_to_points_whole(t):
+    # In whole units of 1e-9, since the engines write floats differently.
+    whole = F.transform("p", lambda x: F.floor(x["val"].cast("double") * F.lit(1e9)).cast("string"))
+    return _points(t).select("vec_id", F.size("p").cast("long").alias("n"), F.array_join(whole, ",").alias("points"))
 
 
 @query("select user_id, event_id, event_type, lag(event_type) over w before, round(value - lag(value) over w, 6) change from events window w as (partition by user_id order by ts, event_id)")
