@@ -44,6 +44,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+@lru_cache(maxsize=2)
+def _place_keys(size: int) -> np.ndarray:
+    return mix(np.arange(1, max(4096, size) + 1, dtype=np.uint64) * _U(BASE))
+
+
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Prefix polynomial of 64-bit symbol values: entry i covers the first i symbols."""
     out = np.empty(len(values) + 1, dtype=np.uint64)
@@ -83,8 +88,15 @@ class Block:
         self.n_words = self.last - self.first
 
     def word_hashes(self, lower: bool) -> np.ndarray:
-        prefix = prefix_sums((SYMBOL_LOWER if lower else SYMBOL)[self.buf])
-        return mix(span_hash(prefix, self.w_start, self.w_end))
+        """A word's hash sums a well-mixed value of each byte and its place, so no algebra of the bytes cancels out."""
+        size = self.w_end - self.w_start
+        if not len(size):
+            return np.empty(0, dtype=np.uint64)
+        edge = np.cumsum(size) - size
+        place = np.arange(edge[-1] + size[-1]) - np.repeat(edge, size)
+        keys = _place_keys(1 << int(place.max()).bit_length())
+        value = (SYMBOL_LOWER if lower else SYMBOL)[self.buf[np.repeat(self.w_start, size) + place]]
+        return mix(np.add.reduceat(mix(value ^ keys[place]), edge) + size.astype(np.uint64))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltspan.llm._io import materialise
+from voltspan.llm._io import materialise, release
+from voltspan.llm._skew import join_hot
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    out = both.join(least, "a")
+    out = join_hot(both, least, "a", "b")
     if large:
         out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -28,7 +29,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = None
     for _ in range(most):
-        edges = materialise(_star(_star(edges, True), False), "components")
+        large = materialise(_star(edges, True), "components")
+        release(edges)
+        edges = materialise(_star(large, False), "components")
+        release(large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -43,28 +43,50 @@ def ask(hashes: np.ndarray, docs: pa.Table, parts: int, note: bytes = b"") -> pa
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one part: for each chunk, whether each of its hashes occurs twice in the corpus."""
+    """Of one part: for each chunk, whether each of its hashes occurs twice in the corpus, and those that do."""
     hashes = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
     twice = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(h)) for x, h in zip(table.column("twice").to_pylist(), hashes, strict=True)]
     kinds, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     n = np.bincount(inverse, weights=1.0 + np.concatenate(twice), minlength=len(kinds))
     back = np.split((n > 1)[inverse], np.cumsum([len(x) for x in hashes])[:-1])
-    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "repeats": pa.array([np.packbits(x).tobytes() for x in back], pa.binary()), "count": pa.array([len(x) for x in back], pa.int64())})
+    return pa.table({
+        "chunk": table.column("chunk"),
+        "part": table.column("part"),
+        "repeats": pa.array([np.packbits(x).tobytes() for x in back], pa.binary()),
+        "count": pa.array([len(x) for x in back], pa.int64()),
+        "hashes": pa.array([h[x].tobytes() for h, x in zip(hashes, back, strict=True)], pa.binary()),
+    })
 
 
-def answers(chunks: DataFrame) -> DataFrame:
-    """Rows to group by chunk: the chunk's own one and the parts' answers."""
+def answers(chunks: DataFrame, echo: bool = False) -> DataFrame:
+    """Rows to group by chunk: the chunk's own one and the parts' answers (echo: with the hashes that repeat)."""
     none = F.lit(None).cast("binary")
-    repeats = chunks.where("part >= 0").select("chunk", "part", "hashes", "twice").groupBy("part").applyInArrow(_answer, "chunk string, part int, repeats binary, count long")
+    repeats = chunks.where("part >= 0").select("chunk", "part", "hashes", "twice").groupBy("part").applyInArrow(_answer, "chunk string, part int, repeats binary, count long, hashes binary")
     own = chunks.where("part = -1").select("chunk", "part", none.alias("repeats"), F.lit(None).cast("long").alias("count"), "hashes", "docs")
-    return repeats.select("chunk", "part", "repeats", "count", none.alias("hashes"), none.alias("docs")).unionByName(own)
+    return repeats.select("chunk", "part", "repeats", "count", F.col("hashes") if echo else none.alias("hashes"), none.alias("docs")).unionByName(own)
 
 
-def hits(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
-    """Of one chunk of answers: for each hash that it asked about, whether it repeats; its documents."""
+def _of_chunk(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table, list[int]]:
+    """(which distinct hashes repeat, where each hash stands among them, the documents, the answers' rows in order)."""
     parts = table.column("part").to_pylist()
     own = parts.index(-1)
     order = [i for i in sorted(range(len(parts)), key=parts.__getitem__) if i != own]
     bits = [np.unpackbits(np.frombuffer(table.column("repeats")[i].as_py(), dtype=np.uint8), count=table.column("count")[i].as_py()) for i in order]
     repeats = np.concatenate(bits) if bits else np.empty(0, dtype=np.uint8)
-    return repeats[np.frombuffer(table.column("hashes")[own].as_py(), dtype="<i4")].astype(bool), pa.ipc.open_stream(table.column("docs")[own].as_py()).read_all()
+    place = np.frombuffer(table.column("hashes")[own].as_py(), dtype="<i4")
+    return repeats.astype(bool), place, pa.ipc.open_stream(table.column("docs")[own].as_py()).read_all(), order
+
+
+def hits(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """Of one chunk of answers: for each hash that it asked about, whether it repeats; its documents."""
+    repeats, place, docs, _ = _of_chunk(table)
+    return repeats[place], docs
+
+
+def echoed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """hits, and the hashes that repeat (in the order asked)."""
+    repeats, place, docs, order = _of_chunk(table)
+    value = np.zeros(len(repeats), dtype=np.uint64)
+    value[repeats] = np.frombuffer(b"".join(table.column("hashes")[i].as_py() for i in order), dtype=np.uint64)
+    hit = repeats[place]
+    return hit, value[place[hit]], docs

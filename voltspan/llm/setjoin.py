@@ -6,11 +6,13 @@ a shingle of their prefixes when all sets are ordered alike, rare shingles first
 Answers are derived before they are computed. In each index list one set is the pivot, and all others are verified
 against it. For two more sets of the list, what they share with the pivot bounds what they share with each other from
 above and below, so most pairs are refused or accepted without looking at the sets; pairs that links already join are left
-out. What remains is matched within blocks of the lists, by length and by position, and verified in full. No candidate
-that the bounds leave open is dropped, so every link between components is found.
+out. What remains is matched by blocks of the lists: blocks that lie too far apart in length or behind in position are skipped
+whole. A pair is verified in two steps, by how many items fall in each cell of a few and, where that does not refuse it, by
+its shingles. No candidate that the bounds leave open is dropped, so every link between components is found.
 
 Null or empty text, or one without words: an empty set, linked with nothing. Rows that repeat a doc_id are documents that
-happen to share an id; links of any of them count for it. An empty table gives an empty result. Further columns are not
+happen to share an id; links of any of them count for it. Rows without a doc_id are documents, and link others; their
+component_id is the least id there, null if none has one. An empty table gives an empty result. Further columns are not
 looked at.
 """
 
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from voltspan.llm._blocks import Block, blocks, mix, signed, windows
 from voltspan.llm._components import components
 from voltspan.llm._io import materialise, partitions, release
-from voltspan.llm._repeats import CHUNKS, answers, ask, hits
+from voltspan.llm._repeats import CHUNKS, answers, ask, echoed
+from voltspan.llm._skew import join_hot
 
 SHINGLE, PERCENT = 4, 85
 CHUNK = 16 << 20
-#: Bytes of an item that are kept for verification.
-ITEM = 6
+#: Entries of a list that a block holds on average, at most.
+BLOCK_ROWS = 64
 #: Pivots that each index list has in turn before the rest is matched.
 PIVOTS = 2
 #: Shingles of at least this many documents among WINDOW_SETS shingles of a task are candidates for the frequent list, which
@@ -90,7 +93,8 @@ def keys(found: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """For each document a row (doc_id, n, s: hash of the set), and one for each shingle h of its prefix that repeats."""
+    """For each document a row (doc_id, row, n, s: hash of the set, cells), and one for each shingle h of its prefix that
+    repeats; documents of a chunk whose sets are equal have those once."""
     often = frequent_shingles(docs, k)
     by_hash = np.argsort(often)
     shared = docs.sparkSession.sparkContext.broadcast((often[by_hash], by_hash))
@@ -111,24 +115,34 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         return head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[pa.Array] = []
+        held: list[pa.RecordBatch] = []
         n: list[int] = []
         s: list[int] = []
+        cells: list[bytes] = []
         heads: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             every = np.concatenate(heads)
-            table = pa.table({"doc_id": pa.concat_arrays(ids), "size": pa.array(n, pa.int64()), "s": pa.array(s, pa.int64()), "n": pa.array(list(map(len, heads)), pa.int64()), "head": pa.array([signed(x).tobytes() for x in heads], pa.binary())})
-            for x in (ids, n, s, heads):
+            rows = pa.Table.from_batches(held)
+            table = pa.table({
+                "doc_id": rows.column("doc_id"),
+                "row": rows.column("row"),
+                "size": pa.array(n, pa.int64()),
+                "s": pa.array(s, pa.int64()),
+                "cells": pa.array(cells, pa.binary()),
+                "n": pa.array(list(map(len, heads)), pa.int64()),
+            })
+            for x in (held, n, s, cells, heads):
                 x.clear()
             return ask(every, table, parts)
 
         size = 0
         for block in blocks(batches):
-            ids.append(block.rows.column("doc_id"))
+            held.append(block.rows.select(["doc_id", "row"]))
             for found in shingle_sets(block, k):
                 n.append(len(found))
                 s.append(keys(found))
+                cells.append(cells_of(found))
                 heads.append(head_of(found))
             size += len(block.buf)
             if size > CHUNK:
@@ -138,147 +152,212 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield flush()
 
     def entries(table: pa.Table) -> pa.Table:
-        hit, rows = hits(table)
+        hit, h, rows = echoed(table)
         n = rows.column("n").to_numpy()
         doc = np.repeat(np.arange(len(n)), n)
         pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        h = np.frombuffer(b"".join(rows.column("head").to_pylist()), dtype=np.int64)[hit]
-        every = np.concatenate((np.arange(len(n)), doc[hit]))
-        picked = rows.select(["doc_id", "size", "s"]).take(pa.array(every))
-        gone = pa.nulls(len(n), pa.int64())
-        return pa.table({"doc_id": picked.column("doc_id"), "n": picked.column("size"), "s": picked.column("s"), "pos": pa.concat_arrays([gone, pa.array(pos[hit])]), "h": pa.concat_arrays([gone, pa.array(h)])})
+        doc, pos = doc[hit], pos[hit]
+        _, first, kind = np.unique(rows.column("s").to_numpy(), return_index=True, return_inverse=True)
+        once = (first[kind] == np.arange(len(n)))[doc]
+        doc, pos, h = doc[once], pos[once], h[once]
+        own = rows.select(["doc_id", "row", "size", "s", "cells"]).rename_columns(["doc_id", "row", "n", "s", "cells"])
+        own = own.append_column("pos", pa.nulls(len(n), pa.int64())).append_column("h", pa.nulls(len(n), pa.int64()))
+        some = rows.select(["size", "s"]).take(pa.array(doc))
+        entry = pa.table({"doc_id": pa.nulls(len(doc), pa.int64()), "row": pa.nulls(len(doc), pa.int64()), "n": some.column("size"), "s": some.column("s"), "cells": pa.nulls(len(doc), pa.binary()), "pos": pa.array(pos, pa.int64()), "h": pa.array(signed(h))})
+        return pa.concat_tables([own, entry])
 
     chunks = materialise(docs.mapInArrow(run, CHUNKS), "setjoin-chunks")
-    out = materialise(answers(chunks).groupBy("chunk").applyInArrow(entries, "doc_id long, n long, s long, pos long, h long"), "setjoin-prefixes", free=True)
+    schema = "doc_id long, row long, n long, s long, cells binary, pos long, h long"
+    out = materialise(answers(chunks, echo=True).groupBy("chunk").applyInArrow(entries, schema), "setjoin-prefixes", free=True)
     release(chunks)
     return out
 
 
-def pack_items(found: np.ndarray) -> bytes:
-    """A set as sorted items of ITEM bytes of their hashes; two sets of 1,000 items agree by chance in one of 10 ** 8 pairs."""
-    return np.unique(found & np.uint64((1 << 8 * ITEM) - 1)).view(np.uint8).reshape(-1, 8)[:, :ITEM].tobytes()
+def cells_of(found: np.ndarray) -> bytes:
+    """How many items of a set fall in each of a power of two of cells, about four in one; 255 stands for more, too."""
+    size = 1 << max(4, (len(found) // 4).bit_length() - 1 if len(found) >= 4 else 0)
+    return np.minimum(np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
 
 
-def unpack_items(data) -> np.ndarray:
-    packed = np.frombuffer(data, dtype=np.uint8).reshape(-1, ITEM)
-    out = np.zeros((len(packed), 8), dtype=np.uint8)
-    out[:, :ITEM] = packed
-    return out.view(np.uint64).ravel()
+def most_common(a: bytes, b: bytes, nx: int, ny: int) -> int:
+    """A bound from above of what two sets share: cell by cell, no more than the lesser has."""
+    u, v = (np.frombuffer(x, dtype=np.uint8) for x in (a, b))
+    if len(u) > len(v):
+        u, v = v, u
+    if u.max(initial=0) == 255 or v.max(initial=0) == 255:
+        return min(nx, ny)
+    return int(np.minimum(u, v.reshape(-1, len(u)).sum(axis=0)).sum())
 
 
 def set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """s and its shingles, for the sets in wanted (s, doc_id)."""
+    """s and its sorted shingle hashes, for the sets of wanted (s, doc_id, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            s, items = [], []
-            for want, found in zip(block.rows.column("s").to_pylist(), shingle_sets(block, k), strict=True):
-                if keys(found) == want:
-                    s.append(want)
-                    items.append(pack_items(found))
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(items, pa.binary())], names=["s", "items"])
+            items = [found.tobytes() for found in shingle_sets(block, k)]
+            yield pa.RecordBatch.from_arrays([block.rows.column("s"), pa.array(items, pa.binary())], names=["s", "items"])
 
-    # Rows that repeat a doc_id give equal rows here, and equal pairs later; nothing counts them.
-    return docs.join(wanted, "doc_id").select("s", "text").mapInArrow(run, "s long, items binary")
+    ids = wanted.select("s", F.col("doc_id").alias("_d"), F.col("row").alias("_r"))
+    texts = docs.join(ids, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("s", "text")
+    # Rows that repeat id and text give equal arrays.
+    return texts.mapInArrow(run, "s long, items binary").groupBy("s").agg(F.first("items").alias("items"))
 
 
-def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Adds common, the number of shared shingles, to pairs (x, y)."""
+def _linked(common, nx, ny, percent: int):
+    return 100 * common >= percent * (nx + ny - common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _near_lengths(a, b, percent: int):
+    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+
+
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (x, y, nx, ny) -> with lo and hi: bounds of what they share, equal for all that may be linked.
+
+    Most pairs are refused by cells, so only sets that have a likely partner are read from their texts, and sent to it.
+    """
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = [most_common(a.as_buffer(), b.as_buffer(), nx, ny) for a, b, nx, ny in zip(batch.column("a"), batch.column("b"), batch.column("nx").to_pylist(), batch.column("ny").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(most, pa.int64())], names=[*batch.schema.names[:-2], "hi"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common = []
-            for a, b in zip(batch.column("xs"), batch.column("ys"), strict=True):
-                u, v = (unpack_items(z.as_buffer()) for z in (a, b))
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                u, v = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (a, b))
                 if len(u) > len(v):
                     u, v = v, u
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
                 common.append(int(np.count_nonzero(v[at] == u)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(common, pa.int64())], names=[*batch.schema.names[:-2], "common"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(common, pa.int64())], names=[*batch.schema.names[:-2], "hi"])
 
-    with_x = pairs.join(arrays.select(F.col("s").alias("x"), F.col("items").alias("xs")), "x")
-    with_y = with_x.join(arrays.select(F.col("s").alias("y"), F.col("items").alias("ys")), "y")
-    return with_y.select("x", "y", "nx", "ny", "xs", "ys").mapInArrow(run, "x long, y long, nx long, ny long, common long")
+    schema = "x long, y long, nx long, ny long, hi long"
+    pairs = materialise(pairs, "setjoin-pairs", free=True)
 
+    def with_both(of: DataFrame, what: DataFrame, column: str) -> DataFrame:
+        half = join_hot(of, what.select(F.col("s").alias("x"), F.col(column).alias("a")), "x", "y")
+        return join_hot(half, what.select(F.col("s").alias("y"), F.col(column).alias("b")), "y", "x").select("x", "y", "nx", "ny", "a", "b")
 
-def _linked(common, nx, ny, percent: int):
-    return 100 * common >= percent * (nx + ny - common)
+    bounded = materialise(with_both(pairs, sets, "cells").mapInArrow(bound, schema), "setjoin-bounded", free=True)
+    likely = _linked(F.col("hi"), F.col("nx"), F.col("ny"), percent)
+    open_pairs = bounded.where(likely).drop("hi")
+    wanted = open_pairs.select(F.explode(F.array("x", "y")).alias("s")).distinct()
+    wanted = materialise(sets.join(wanted, "s", "left_semi").select("s", "doc_id", "row"), "setjoin-wanted")
+    arrays = materialise(set_arrays(docs, wanted, k), "setjoin-sets", free=True)
+    open_pairs = materialise(open_pairs, "setjoin-likely")
+    found = with_both(open_pairs, arrays, "items").mapInArrow(exact, schema).withColumn("lo", F.col("hi"))
+    out = materialise(found.unionByName(bounded.where(~likely).withColumn("lo", F.lit(0).cast("long"))), "setjoin-verified", free=True)
+    release(pairs, bounded, wanted, arrays, open_pairs)
+    return out
 
 
-def _near_lengths(a, b, percent: int):
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs of a set (s, n) and a pivot p, the lesser of both as x."""
+    first = F.col("s") < F.col("p.s")
+    return pairs.select(
+        F.least("s", "p.s").alias("x"),
+        F.greatest("s", "p.s").alias("y"),
+        F.when(first, F.col("n")).otherwise(F.col("p.n")).alias("nx"),
+        F.when(first, F.col("p.n")).otherwise(F.col("n")).alias("ny"),
+    ).distinct()
+
+
+def _with_component(df: DataFrame, group: DataFrame) -> DataFrame:
+    joined = join_hot(df, group.select(F.col("node").alias("s"), "component"), "s", "h", "left")
+    return joined.withColumn("component", F.coalesce("component", "s"))
+
+
+def matched_blocks(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a list, block by block.
+
+    A block holds entries of one list, of about one length and one part of the prefix. Two blocks are skipped unseen if their
+    lengths are too far apart, if what stands behind their foremost positions can't reach the similarity, or if one component
+    holds both; so are then the pairs of the others.
+    """
+    step = -np.log(percent / 100)
+    head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
+    entry = F.struct("s", "n", "pos", "component", "lo", "hi", "pivot_n")
+    blocked = rest.select("h", F.floor(F.log("n") / F.lit(step) + 1e-9).alias("length"), F.floor(F.col("pos") * 4 / head).alias("quarter"), F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / BLOCK_ROWS)).alias("slot"), entry.alias("e"))
+    blocked = blocked.groupBy("h", "length", "quarter", "slot").agg(F.collect_list("e").alias("rows"), F.min("e.n").alias("least_n"), F.max("e.n").alias("most_n"), F.min("e.pos").alias("least_pos"), F.min("e.component").alias("least_c"), F.max("e.component").alias("most_c"))
+    blocked = materialise(blocked, "setjoin-blocks", free=True)
+    a = blocked.withColumn("of", F.explode(F.array("length", F.col("length") + 1)))
+    a = a.select("h", F.col("of").alias("length"), F.struct(F.col("length").alias("l"), "quarter", "slot").alias("at"), F.struct("rows", "least_n", "most_n", "least_pos", "least_c", "most_c").alias("a"))
+    b = blocked.select("h", "length", F.struct(F.col("length").alias("l"), "quarter", "slot").alias("bt"), F.struct("rows", "least_n", "most_n", "least_pos", "least_c", "most_c").alias("b"))
+    need = lambda x, y: F.ceil((x + y) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
+    reach = F.least(F.col("a.most_n") - F.col("a.least_pos"), F.col("b.most_n") - F.col("b.least_pos"))
+    seen = (F.col("at") <= F.col("bt")) & (100 * F.col("a.most_n") >= percent * F.col("b.least_n")) & (reach >= need(F.col("a.least_n"), F.col("b.least_n"))) & ~((F.col("a.least_c") == F.col("b.most_c")) & (F.col("a.most_c") == F.col("b.least_c")))
+    pairs = a.join(b, ["h", "length"]).where(seen)
+    pairs = pairs.select((F.col("at") == F.col("bt")).alias("one"), F.explode("a.rows").alias("u"), F.col("b.rows").alias("rows")).select("one", "u", F.explode("rows").alias("v"))
+    u, v = (lambda c: F.col(f"u.{c}")), (lambda c: F.col(f"v.{c}"))
+    # Of v, at most its share with the pivot is in the pivot, and u has nx - lo others; u and v share at least lo + lo - pivot_n.
+    upper = F.least(v("hi") + u("n") - u("lo"), u("hi") + v("n") - v("lo"))
+    by_position = F.least(u("n") - u("pos"), v("n") - v("pos"))
+    lacks = need(u("n"), v("n"))
+    pairs = pairs.where((u("component") != v("component")) & (~F.col("one") | (u("s") < v("s"))) & _near_lengths(u("n"), v("n"), percent) & (by_position >= lacks) & (upper >= lacks))
+    x = u("s") < v("s")
+    pairs = pairs.select(F.least(u("s"), v("s")).alias("x"), F.greatest(u("s"), v("s")).alias("y"), F.when(x, u("n")).otherwise(v("n")).alias("nx"), F.when(x, v("n")).otherwise(u("n")).alias("ny"), F.greatest(F.lit(0), u("lo") + v("lo") - u("pivot_n")).alias("lower"))
+    found = materialise(pairs.groupBy("x", "y", "nx", "ny").agg(F.max("lower").alias("lower")), "setjoin-open", free=True)
+    release(blocked)
+    return found
 
 
 def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"))
     found = prefixes(docs, k, percent)
-    own = found.where("h is null").select("doc_id", "n", "s")
-    # Documents of equal sets have the same entries.
-    index = found.where("h is not null").select("s", "n", "pos", "h").distinct()
+    own = found.where("h is null").select("doc_id", "row", "n", "s", "cells")
+    # Documents of equal sets have the same entries; one exchange by shingle serves all three steps.
+    index = found.where("h is not null").select("s", "n", "pos", "h").repartition(max(2, partitions(docs.sparkSession)), "h").distinct()
     lists = index.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     lists = materialise(index.join(lists, "h"), "setjoin-lists", free=True)
-    index = lists
     # The set that meets most others is the pivot of its lists: of near copies, mostly the one that all were made from.
-    meets = index.groupBy("s").agg(F.sum("size").alias("meets"))
-    index = materialise(index.join(meets, "s"), "setjoin-index", free=True)
+    meets = lists.groupBy("s").agg(F.sum("size").alias("meets"))
+    index = materialise(lists.join(meets, "s"), "setjoin-index", free=True)
     release(lists)
     # One document stands for each set in a list.
-    wanted = own.where("n > 0").join(index.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-    arrays = materialise(set_arrays(docs, wanted, k), "setjoin-sets", free=True)
-    group, checked = None, None
-    for turn in range(PIVOTS):
+    sets = own.where("n > 0").join(index.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "cells")).alias("of"))
+    sets = materialise(sets.select("s", "of.doc_id", "of.row", "of.cells"), "setjoin-representatives", free=True)
+    group, checked, hubs, pivots = None, [], None, None
+    for _ in range(PIVOTS):
         if group is None:
             open_index = index.withColumn("component", F.col("s"))
-            pivots = open_index.groupBy("h").agg(F.max(F.struct("meets", "n", "s")).alias("p"))
+            pivots = open_index.groupBy("h").agg(F.max(F.struct("meets", "n", "s", "component")).alias("p"))
         else:
             # Lists that still hold several components get a pivot outside that of the last one.
-            open_index = index.join(group.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+            open_index = _with_component(index, group)
             last = open_index.join(pivots.select("h", F.col("p.s").alias("last")), "h")
             of_last = last.where(F.col("s") == F.col("last")).select("h", F.col("component").alias("of_last"))
             pivots = last.join(of_last, "h").where(F.col("component") != F.col("of_last")).groupBy("h").agg(F.max(F.struct("meets", "n", "s", "component")).alias("p"))
         pivots = materialise(pivots, "setjoin-pivots", free=True)
+        hubs = pivots if hubs is None else hubs
         pairs = open_index.join(pivots, "h").select("s", "n", "component", "p")
-        if group is not None:
-            pairs = pairs.where(F.col("component") != F.col("p.component"))
-        pairs = pairs.where((F.col("s") != F.col("p.s")) & _near_lengths(F.col("n"), F.col("p.n"), percent))
-        pairs = pairs.select(F.least("s", "p.s").alias("x"), F.greatest("s", "p.s").alias("y"), F.when(F.col("s") < F.col("p.s"), F.col("n")).otherwise(F.col("p.n")).alias("nx"), F.when(F.col("s") < F.col("p.s"), F.col("p.n")).otherwise(F.col("n")).alias("ny")).distinct()
-        first = materialise(verify(pairs, arrays), "setjoin-verified", free=True)
-        links = first.where(_linked(F.col("common"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        checked = first if checked is None else checked.unionByName(first)
-        if turn == 0:
-            hubs = pivots
-            group = components(links)
-        else:
-            group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
-    known = index.join(group.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+        pairs = pairs.where((F.col("component") != F.col("p.component")) & (F.col("s") != F.col("p.s")) & _near_lengths(F.col("n"), F.col("p.n"), percent))
+        checked.append(verify(_ordered(pairs), sets, docs, k, percent))
+        links = checked[-1].where(_linked(F.col("lo"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        group = components(links if group is None else group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+    known = _with_component(index, group)
+    open_lists = known.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("h")
+    known = known.join(open_lists, "h", "left_semi")
     # What each set shares with the first pivot of a list is known, unless their lengths are too far apart.
-    known = known.join(hubs.select("h", F.col("p.s").alias("pivot"), F.col("p.n").alias("pivot_n")), "h")
-    shares = checked.select(F.col("x").alias("s"), F.col("y").alias("pivot"), "common").unionByName(checked.select(F.col("y").alias("s"), F.col("x").alias("pivot"), "common")).distinct()
+    known = known.join(hubs.select("h", F.col("p.s").alias("pivot"), F.col("p.n").alias("pivot_n")), "h").where(F.col("s") != F.col("pivot"))
+    shares = checked[0].unionByName(checked[1]) if len(checked) > 1 else checked[0]
+    shares = shares.select(F.col("x").alias("s"), F.col("y").alias("pivot"), "lo", "hi").unionByName(shares.select(F.col("y").alias("s"), F.col("x").alias("pivot"), "lo", "hi"))
+    shares = shares.groupBy("s", "pivot").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
     known = known.join(shares, ["s", "pivot"], "left")
-    known = known.withColumn("common", F.when(F.col("s") == F.col("pivot"), F.col("n")).otherwise(F.col("common")))
-    known = materialise(known, "setjoin-known", free=True)
-    open_lists = known.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    rest = known.where(F.col("s") != F.col("pivot")).join(open_lists, "h", "left_semi")
-    step = -np.log(percent / 100)
-    rest = rest.withColumn("block", F.floor(F.log("n") / F.lit(step) + 1e-9))
-    x = rest.select("h", F.col("s").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"), F.col("common").alias("vx"), "pivot_n", F.explode(F.array("block", F.col("block") + 1)).alias("block"))
-    y = rest.select("h", F.col("s").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"), F.col("common").alias("vy"), "block")
-    need = F.ceil((F.col("nx") + F.col("ny")) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
-    # Of y, at most vy items are in the pivot, and x has nx - vx others; of the pivot, x and y share at least vx + vy - pivot_n.
-    upper = F.coalesce(F.least(F.col("vy") + F.col("nx") - F.col("vx"), F.col("vx") + F.col("ny") - F.col("vy")), F.col("nx"))
-    by_position = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    matched = (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))) & _near_lengths(F.col("nx"), F.col("ny"), percent) & (by_position >= need) & (upper >= need)
-    found = x.join(y, ["h", "block"]).where(matched).select("x", "y", "nx", "ny", "vx", "vy", "pivot_n", "cx", "cy")
-    found = found.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.max(F.coalesce(F.col("vx") + F.col("vy") - F.col("pivot_n"), F.lit(0))).alias("lower"))
-    found = materialise(found, "setjoin-open", free=True)
+    rest = known.withColumns({"lo": F.coalesce("lo", F.lit(0)), "hi": F.coalesce("hi", F.least("n", "pivot_n"))})
+    found = matched_blocks(rest, percent)
     sure = _linked(F.col("lower"), F.col("nx"), F.col("ny"), percent)
-    more = found.where(sure).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    exact = verify(found.where(~sure).select("x", "y", "nx", "ny"), arrays)
-    more = materialise(more.unionByName(exact.where(_linked(F.col("common"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))), "setjoin-more", free=True)
+    exact = verify(found.where(~sure).select("x", "y", "nx", "ny"), sets, docs, k, percent)
+    more = found.where(sure).select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(exact.where(_linked(F.col("lo"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b")))
     if not more.isEmpty():
         group = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = own.join(group.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "s")))
-    named = materialise(named.select("doc_id", "n", "component"), "setjoin-named")
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # The least id of each set, then of each component, is handed back to the sets and to the documents.
+    least = own.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"))
+    least = materialise(least.join(group.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("component", F.coalesce("component", "s")), "setjoin-components", free=True)
+    of = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = materialise(join_hot(least, of, "component", "s").select("s", "component_id"), "setjoin-named", free=True)
+    named = join_hot(own.select("doc_id", "row", "n", "s"), of, "s", "doc_id", "left")
+    release(index, sets, hubs, *checked)
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
