@@ -62,6 +62,66 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
+def keyed_hashes(symbols: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans that aren't empty: the sum of a well-mixed value of each byte and its place, so that no algebra of the
+    bytes cancels out."""
+    size = end - start
+    if not len(size):
+        return np.empty(0, dtype=np.uint64)
+    edge = np.cumsum(size) - size
+    place = np.arange(edge[-1] + size[-1]) - np.repeat(edge, size)
+    keys = _place_keys(1 << int(place.max()).bit_length())
+    value = symbols[buf[np.repeat(start, size) + place]]
+    return mix(np.add.reduceat(mix(value ^ keys[place]), edge) + size.astype(np.uint64))
+
+
+#: A Mersenne prime. Polynomials modulo a power of two have texts that collide whatever the base; modulo a prime there are none
+#: such, and two texts of n symbols collide for at most n of all bases.
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = _U(PRIME), _U((1 << 31) - 1), _U((1 << 30) - 1)
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for values below it."""
+    a, b = np.asarray(a, dtype=np.uint64), np.asarray(b, dtype=np.uint64)
+    ah, al, bh, bl = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    middle = al * bh + ah * bl
+    return _reduce(_reduce(ah * bh * _U(2) + (middle >> _U(30))) + _reduce(((middle & _LOW30) << _U(31)) + al * bl))
+
+
+def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a >= b, a - b, a + _P - b)
+
+
+@lru_cache(maxsize=4)
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < size:
+        out = np.concatenate((out, times(out, _U(pow(base, len(out), PRIME)))))
+    return out
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo PRIME, for i from 0 to n."""
+    return _prime_powers(base, 1 << max(12, int(n + 1).bit_length()))
+
+
+def prime_prefixes(values: np.ndarray, base: int) -> np.ndarray:
+    """Prefix polynomial modulo PRIME: entry i is the sum of values[j] * base ** j over j < i."""
+    terms = times(values, prime_powers(base, len(values))[: len(values)])
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    # Halves are summed apart, so that nothing overflows; the upper one counts 2 ** 32 times.
+    high, low = np.cumsum(terms >> _U(32), dtype=np.uint64), np.cumsum(terms & _U(0xFFFFFFFF), dtype=np.uint64)
+    high = _reduce(high)
+    out[1:] = _reduce(_reduce(((high << _U(32)) & _P) + (high >> _U(29))) + _reduce(low))
+    return out
+
+
 class Block:
     """Some documents as one byte array in which a space follows each text."""
 
@@ -88,15 +148,7 @@ class Block:
         self.n_words = self.last - self.first
 
     def word_hashes(self, lower: bool) -> np.ndarray:
-        """A word's hash sums a well-mixed value of each byte and its place, so no algebra of the bytes cancels out."""
-        size = self.w_end - self.w_start
-        if not len(size):
-            return np.empty(0, dtype=np.uint64)
-        edge = np.cumsum(size) - size
-        place = np.arange(edge[-1] + size[-1]) - np.repeat(edge, size)
-        keys = _place_keys(1 << int(place.max()).bit_length())
-        value = (SYMBOL_LOWER if lower else SYMBOL)[self.buf[np.repeat(self.w_start, size) + place]]
-        return mix(np.add.reduceat(mix(value ^ keys[place]), edge) + size.astype(np.uint64))
+        return keyed_hashes((SYMBOL_LOWER if lower else SYMBOL), self.buf, self.w_start, self.w_end)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
