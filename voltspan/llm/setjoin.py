@@ -18,6 +18,7 @@ looked at.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +29,16 @@ from pyspark.sql import functions as F
 from voltspan.llm._blocks import Block, blocks, mix, signed, windows
 from voltspan.llm._components import components
 from voltspan.llm._io import materialise, partitions, release
-from voltspan.llm._repeats import CHUNKS, answers, ask, echoed
 from voltspan.llm._skew import join_hot
 
 SHINGLE, PERCENT = 4, 85
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Entries of a list that a block holds on average, at most.
 BLOCK_ROWS = 64
 #: Pivots that each index list has in turn before the rest is matched.
 PIVOTS = 2
-#: Shingles of at least this many documents among WINDOW_SETS shingles of a task are candidates for the frequent list, which
-#: only orders shingles: it holds the MOST_FREQUENT most frequent ones, and any order gives the same links.
-OFTEN, WINDOW_SETS, MOST_FREQUENT = 6, 6_000_000, 200_000
+#: Values that a part counts on average, at most; sets that are read for verification by a broadcast of their ids, at most.
+MOST_VALUES, MOST_BROADCAST = 2_000_000, 500_000
 
 
 def shingle_sets(block: Block, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -56,119 +55,125 @@ def shingle_sets(block: Block, k: int = SHINGLE) -> Iterator[np.ndarray]:
             yield np.empty(0, dtype=np.uint64)
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Frequent shingles, the rarest first."""
+def keys(found: np.ndarray) -> int:
+    """A hash of a whole set."""
+    x = mix(found)
+    return int(signed(mix(np.array([x.sum(), np.bitwise_xor.reduce(mix(x + np.uint64(1))) if len(x) else 0, len(x)], dtype=np.uint64)))[0] ^ signed(mix(np.array([np.bitwise_xor.reduce(mix(x + np.uint64(2))) if len(x) else 0], dtype=np.uint64) + np.uint64(len(x))))[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
 
-        def flush() -> pa.RecordBatch:
-            every = np.sort(np.concatenate(held))
-            edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True]))) if len(every) else np.zeros(1, dtype=np.int64)
-            n = np.diff(edge)
-            often = n >= OFTEN
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(signed(every[edge[:-1][often]])), pa.array(n[often])], names=["h", "n"])
+#: For each chunk of documents: them (part -1), and for each part its values, in order, with the number of sets that have each.
+CHUNKS = "chunk string, part long, n long, values binary, counts binary, docs binary"
+_KINDS = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
-        for block in blocks(batches):
-            for found in shingle_sets(block, k):
-                held.append(found)
-                size += len(found)
-            if size > WINDOW_SETS:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
 
-    rows = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = rows.orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).toArrow()
-    return rows.column("h").to_numpy()[::-1].copy().view(np.uint64)
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending values as byte planes of their steps; the upper ones are nearly all zero and compress away."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def keys(found: np.ndarray) -> int:
-    """A hash of a whole set."""
-    x = mix(found)
-    return int(signed(mix(np.array([x.sum(), np.bitwise_xor.reduce(mix(x + np.uint64(1))) if len(x) else 0, len(x)], dtype=np.uint64)))[0] ^ signed(mix(np.array([np.bitwise_xor.reduce(mix(x + np.uint64(2))) if len(x) else 0], dtype=np.uint64) + np.uint64(len(x))))[0])
+def unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, : len(data) // max(n, 1)] = np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """0: in one set only; else more, the more sets have it, in steps of an eighth of a doubling."""
+    return np.where(counts < 2, 0, np.minimum(1 + np.log2(np.maximum(counts, 1)) * 8, 255)).astype(np.uint8)
+
+
+def _rarities(table: pa.Table) -> pa.Table:
+    """Of one part: for each chunk, how rare its values are among all sets."""
+    n = table.column("n").to_pylist()
+    values = np.concatenate([unpack_sorted(x, m) for x, m in zip(table.column("values").to_pylist(), n, strict=True)])
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype="<u4")
+    kinds, inverse = np.unique(values, return_inverse=True)
+    found = rarity(np.bincount(inverse, weights=counts, minlength=len(kinds)))[inverse]
+    back = [x.tobytes() for x in np.split(found, np.cumsum(n)[:-1])]
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "rare": pa.array(back, pa.binary())})
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """For each document a row (doc_id, row, n, s: hash of the set, cells), and one for each shingle h of its prefix that
-    repeats; documents of a chunk whose sets are equal have those once."""
-    often = frequent_shingles(docs, k)
-    by_hash = np.argsort(often)
-    shared = docs.sparkSession.sparkContext.broadcast((often[by_hash], by_hash))
-    parts = max(2, partitions(docs.sparkSession))
-
-    def head_of(found: np.ndarray) -> np.ndarray:
-        """The items of a set that its index entries are made from, the rarest first."""
-        hashes, rank = shared.value
-        length = len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0
-        if not len(hashes):
-            return found[:length]
-        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-        often = hashes[at] == found
-        head = found[~often][:length]
-        if len(head) < length:
-            rest = found[often]
-            head = np.concatenate((head, rest[np.argsort(rank[at[often]])][: length - len(head)]))
-        return head
+    repeats; documents of a chunk whose sets are equal have those once.
+
+    How many sets have a shingle is counted over the corpus, by so many bits of its hash that few share a count by chance;
+    that could only change the order, which is the same for all. So the prefix of a set holds its rarest shingles, and lists
+    stay short however large the corpus is.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shift = np.uint64(64 - min(56, max(24, (size // 5 + 1).bit_length() + 4)))
+    parts = max(2, partitions(docs.sparkSession), size // 5 // MOST_VALUES + 1)
+    width = np.uint64((1 << 64 - int(shift)) // parts + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n: list[int] = []
-        s: list[int] = []
-        cells: list[bytes] = []
-        heads: list[np.ndarray] = []
+        values: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            every = np.concatenate(heads)
-            rows = pa.Table.from_batches(held)
-            table = pa.table({
-                "doc_id": rows.column("doc_id"),
-                "row": rows.column("row"),
-                "size": pa.array(n, pa.int64()),
-                "s": pa.array(s, pa.int64()),
-                "cells": pa.array(cells, pa.binary()),
-                "n": pa.array(list(map(len, heads)), pa.int64()),
-            })
-            for x in (held, n, s, cells, heads):
-                x.clear()
-            return ask(every, table, parts)
+            kinds, n = np.unique(np.concatenate(values), return_counts=True)
+            chunk = uuid.uuid4().hex
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as w:
+                for x in held:
+                    w.write_batch(x)
+            rows = [(chunk, -1, 0, b"", b"", sink.getvalue().to_pybytes())]
+            part = kinds // width
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(kinds)])) if len(kinds) else [0]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                rows.append((chunk, int(part[a]), int(b - a), pack_sorted(kinds[a:b]), n[a:b].astype("<u4").tobytes(), b""))
+            held.clear()
+            values.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[x.split()[0] for x in CHUNKS.split(", ")])
 
         size = 0
         for block in blocks(batches):
-            held.append(block.rows.select(["doc_id", "row"]))
-            for found in shingle_sets(block, k):
-                n.append(len(found))
-                s.append(keys(found))
-                cells.append(cells_of(found))
-                heads.append(head_of(found))
+            held.append(block.rows)
+            values.extend(found >> shift for found in shingle_sets(block, k))
             size += len(block.buf)
             if size > CHUNK:
                 yield flush()
                 size = 0
-        if heads:
+        if held:
             yield flush()
 
     def entries(table: pa.Table) -> pa.Table:
-        hit, h, rows = echoed(table)
-        n = rows.column("n").to_numpy()
-        doc = np.repeat(np.arange(len(n)), n)
-        pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        doc, pos = doc[hit], pos[hit]
-        _, first, kind = np.unique(rows.column("s").to_numpy(), return_index=True, return_inverse=True)
-        once = (first[kind] == np.arange(len(n)))[doc]
-        doc, pos, h = doc[once], pos[once], h[once]
-        own = rows.select(["doc_id", "row", "size", "s", "cells"]).rename_columns(["doc_id", "row", "n", "s", "cells"])
-        own = own.append_column("pos", pa.nulls(len(n), pa.int64())).append_column("h", pa.nulls(len(n), pa.int64()))
-        some = rows.select(["size", "s"]).take(pa.array(doc))
-        entry = pa.table({"doc_id": pa.nulls(len(doc), pa.int64()), "row": pa.nulls(len(doc), pa.int64()), "n": some.column("size"), "s": some.column("s"), "cells": pa.nulls(len(doc), pa.binary()), "pos": pa.array(pos, pa.int64()), "h": pa.array(signed(h))})
-        return pa.concat_tables([own, entry])
-
-    chunks = materialise(docs.mapInArrow(run, CHUNKS), "setjoin-chunks")
+        parts = table.column("part").to_pylist()
+        own = parts.index(-1)
+        order = [i for i in sorted(range(len(parts)), key=parts.__getitem__) if i != own]
+        rare = np.frombuffer(b"".join(table.column("rare")[i].as_py() for i in order), dtype=np.uint8)
+        rows = pa.ipc.open_stream(table.column("docs")[own].as_py()).read_all()
+        sets = [found for block in blocks(iter(rows.to_batches())) for found in shingle_sets(block, k)]
+        kinds = np.unique(np.concatenate([x >> shift for x in sets]))
+        n, s, cells = list(map(len, sets)), list(map(keys, sets)), list(map(cells_of, sets))
+        doc, pos, h = [], [], []
+        seen: set[int] = set()
+        for i, found in enumerate(sets):
+            if len(found) and s[i] not in seen:
+                seen.add(s[i])
+                of = rare[np.searchsorted(kinds, found >> shift)]
+                length = len(found) - -(-percent * len(found) // 100) + 1
+                head = np.argsort(of, kind="stable")[:length]
+                again = np.flatnonzero(of[head])
+                doc.append(np.full(len(again), i))
+                pos.append(again)
+                h.append(found[head[again]])
+        doc, pos = (np.concatenate(x).astype(np.int64) if x else np.empty(0, dtype=np.int64) for x in (doc, pos))
+        h = np.concatenate(h) if h else np.empty(0, dtype=np.uint64)
+        n, s = np.array(n, dtype=np.int64), np.array(s, dtype=np.int64)
+        gone = pa.nulls(len(n), pa.int64())
+        mine = pa.table({"doc_id": rows.column("doc_id"), "row": rows.column("row"), "n": pa.array(n), "s": pa.array(s), "cells": pa.array(cells, pa.binary()), "pos": gone, "h": gone})
+        gone = pa.nulls(len(doc), pa.int64())
+        return pa.concat_tables([mine, pa.table({"doc_id": gone, "row": gone, "n": pa.array(n[doc]), "s": pa.array(s[doc]), "cells": pa.nulls(len(doc), pa.binary()), "pos": pa.array(pos), "h": pa.array(signed(h))})])
+
+    chunks = materialise(docs.select("doc_id", "row", "text").mapInArrow(run, CHUNKS), "setjoin-chunks")
+    none = F.lit(None).cast("binary")
+    rare = chunks.where("part >= 0").drop("docs").groupBy("part").applyInArrow(_rarities, "chunk string, part long, rare binary")
+    both = rare.withColumn("docs", none).unionByName(chunks.where("part = -1").select("chunk", "part", none.alias("rare"), "docs"))
     schema = "doc_id long, row long, n long, s long, cells binary, pos long, h long"
-    out = materialise(answers(chunks, echo=True).groupBy("chunk").applyInArrow(entries, schema), "setjoin-prefixes", free=True)
+    out = materialise(both.groupBy("chunk").applyInArrow(entries, schema), "setjoin-prefixes", free=True)
     release(chunks)
     return out
 
@@ -198,6 +203,8 @@ def set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.rows.column("s"), pa.array(items, pa.binary())], names=["s", "items"])
 
     ids = wanted.select("s", F.col("doc_id").alias("_d"), F.col("row").alias("_r"))
+    if wanted.count() <= MOST_BROADCAST:  # three numbers a row
+        ids = F.broadcast(ids)
     texts = docs.join(ids, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("s", "text")
     # Rows that repeat id and text give equal arrays.
     return texts.mapInArrow(run, "s long, items binary").groupBy("s").agg(F.first("items").alias("items"))
