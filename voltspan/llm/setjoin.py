@@ -279,31 +279,42 @@ def _with_component(df: DataFrame, group: DataFrame) -> DataFrame:
 def matched_blocks(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a list, block by block.
 
-    A block holds entries of one list, of about one length and one part of the prefix. Two blocks are skipped unseen if their
-    lengths are too far apart, if what stands behind their foremost positions can't reach the similarity, or if one component
-    holds both; so are then the pairs of the others.
+    A block holds entries of one list, of about one length and one part of the prefix; those of the list's largest component
+    have blocks of their own. Two blocks are skipped unseen if their lengths are too far apart, if what stands behind their
+    foremost positions can't reach the similarity, or if one component holds both. In the others a pair becomes a row only if
+    its lengths, its positions and what both share with the list's pivot leave it open.
     """
     step = -np.log(percent / 100)
     head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
+    largest = rest.groupBy("h", "component").agg(F.count("*").alias("_n")).groupBy("h").agg(F.max_by("component", F.struct("_n", "component")).alias("largest"))
     entry = F.struct("s", "n", "pos", "component", "lo", "hi", "pivot_n")
-    blocked = rest.select("h", F.floor(F.log("n") / F.lit(step) + 1e-9).alias("length"), F.floor(F.col("pos") * 4 / head).alias("quarter"), F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / BLOCK_ROWS)).alias("slot"), entry.alias("e"))
-    blocked = blocked.groupBy("h", "length", "quarter", "slot").agg(F.collect_list("e").alias("rows"), F.min("e.n").alias("least_n"), F.max("e.n").alias("most_n"), F.min("e.pos").alias("least_pos"), F.min("e.component").alias("least_c"), F.max("e.component").alias("most_c"))
+    place = [F.floor(F.log("n") / F.lit(step) + 1e-9).alias("length"), F.floor(F.col("pos") * 4 / head).alias("quarter"), (F.col("component") == F.col("largest")).alias("of_largest"), F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / BLOCK_ROWS)).alias("slot")]
+    blocked = rest.join(largest, "h").select("h", *place, entry.alias("e"))
+    blocked = blocked.groupBy("h", "length", "quarter", "of_largest", "slot").agg(F.collect_list("e").alias("rows"), F.min("e.n").alias("least_n"), F.max("e.n").alias("most_n"), F.min("e.pos").alias("least_pos"), F.min("e.component").alias("least_c"), F.max("e.component").alias("most_c"))
     blocked = materialise(blocked, "setjoin-blocks", free=True)
-    a = blocked.withColumn("of", F.explode(F.array("length", F.col("length") + 1)))
-    a = a.select("h", F.col("of").alias("length"), F.struct(F.col("length").alias("l"), "quarter", "slot").alias("at"), F.struct("rows", "least_n", "most_n", "least_pos", "least_c", "most_c").alias("a"))
-    b = blocked.select("h", "length", F.struct(F.col("length").alias("l"), "quarter", "slot").alias("bt"), F.struct("rows", "least_n", "most_n", "least_pos", "least_c", "most_c").alias("b"))
+    at = F.struct(F.col("length").alias("l"), "quarter", "of_largest", "slot")
+    block = F.struct("rows", "least_n", "most_n", "least_pos", "least_c", "most_c")
+    a = blocked.select("h", F.explode(F.array("length", F.col("length") + 1)).alias("length"), at.alias("at"), block.alias("a"))
+    b = blocked.select("h", "length", at.alias("bt"), block.alias("b"))
     need = lambda x, y: F.ceil((x + y) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
     reach = F.least(F.col("a.most_n") - F.col("a.least_pos"), F.col("b.most_n") - F.col("b.least_pos"))
-    seen = (F.col("at") <= F.col("bt")) & (100 * F.col("a.most_n") >= percent * F.col("b.least_n")) & (reach >= need(F.col("a.least_n"), F.col("b.least_n"))) & ~((F.col("a.least_c") == F.col("b.most_c")) & (F.col("a.most_c") == F.col("b.least_c")))
+    one_component = (F.col("a.least_c") == F.col("a.most_c")) & (F.col("b.least_c") == F.col("b.most_c")) & (F.col("a.least_c") == F.col("b.least_c"))
+    seen = (F.col("at") <= F.col("bt")) & (100 * F.col("a.most_n") >= percent * F.col("b.least_n")) & (reach >= need(F.col("a.least_n"), F.col("b.least_n"))) & ~one_component
     pairs = a.join(b, ["h", "length"]).where(seen)
-    pairs = pairs.select((F.col("at") == F.col("bt")).alias("one"), F.explode("a.rows").alias("u"), F.col("b.rows").alias("rows")).select("one", "u", F.explode("rows").alias("v"))
+    pairs = pairs.select((F.col("at") == F.col("bt")).alias("one"), F.explode("a.rows").alias("u"), F.col("b.rows").alias("rows"))
+
+    def left_open(v):
+        u = lambda c: F.col("u")[c]
+        # Of v, at most its share with the pivot is in the pivot, and u has n - lo others.
+        upper = F.least(v["hi"] + u("n") - u("lo"), u("hi") + v["n"] - v["lo"])
+        by_position = F.least(u("n") - u("pos"), v["n"] - v["pos"])
+        lacks = need(u("n"), v["n"])
+        return (u("component") != v["component"]) & (~F.col("one") | (u("s") < v["s"])) & _near_lengths(u("n"), v["n"], percent) & (by_position >= lacks) & (upper >= lacks)
+
+    pairs = pairs.select("u", F.explode(F.filter("rows", left_open)).alias("v"))
     u, v = (lambda c: F.col(f"u.{c}")), (lambda c: F.col(f"v.{c}"))
-    # Of v, at most its share with the pivot is in the pivot, and u has nx - lo others; u and v share at least lo + lo - pivot_n.
-    upper = F.least(v("hi") + u("n") - u("lo"), u("hi") + v("n") - v("lo"))
-    by_position = F.least(u("n") - u("pos"), v("n") - v("pos"))
-    lacks = need(u("n"), v("n"))
-    pairs = pairs.where((u("component") != v("component")) & (~F.col("one") | (u("s") < v("s"))) & _near_lengths(u("n"), v("n"), percent) & (by_position >= lacks) & (upper >= lacks))
     x = u("s") < v("s")
+    # Of the pivot, both together have at most pivot_n, so u and v share the rest of what each shares with it.
     pairs = pairs.select(F.least(u("s"), v("s")).alias("x"), F.greatest(u("s"), v("s")).alias("y"), F.when(x, u("n")).otherwise(v("n")).alias("nx"), F.when(x, v("n")).otherwise(u("n")).alias("ny"), F.greatest(F.lit(0), u("lo") + v("lo") - u("pivot_n")).alias("lower"))
     found = materialise(pairs.groupBy("x", "y", "nx", "ny").agg(F.max("lower").alias("lower")), "setjoin-open", free=True)
     release(blocked)
@@ -324,7 +335,8 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     index = materialise(lists.join(meets, "s"), "setjoin-index", free=True)
     release(lists)
     # One document stands for each set in a list.
-    sets = own.where("n > 0").join(index.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "cells")).alias("of"))
+    sets = own.where("n > 0").groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "cells")).alias("of"))
+    sets = sets.join(index.select("s").distinct(), "s", "left_semi")
     sets = materialise(sets.select("s", "of.doc_id", "of.row", "of.cells"), "setjoin-representatives", free=True)
     group, checked, hubs, pivots = None, [], None, None
     for _ in range(PIVOTS):
