@@ -21,6 +21,8 @@ MOST_COPIES = 3
 #: Documents of 2 ** k to 2 ** (k + 1) - 1 words are asked for in proportion to GENTLE ** k.
 GENTLE = 1.05
 CELLS = 4096
+#: Rows of a few numbers that are broadcast at most.
+MOST_BROADCAST = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,6 +45,18 @@ def _fill(df: DataFrame, by: list[str], weight: str, most: str, total: Column, o
     return df.withColumn(out, F.least(F.col(most), F.col("_level") * F.col(weight))).drop("_ratio", "_total", "_level", "_place")
 
 
+def _with_source(rows: DataFrame, of: DataFrame, other: str | None = None) -> DataFrame:
+    """rows with what is known of their source (_s), or of the source and another column (_ and its first letter).
+
+    Few sources are broadcast, so that no source's rows are dealt by it; with more of them, no source is all that hot.
+    """
+    of = materialise(of, "mixing-of-sources")
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    if other:
+        same &= F.col(other) == F.col(f"_{other[0]}")
+    return rows.join(F.broadcast(of) if of.count() <= MOST_BROADCAST else of, same, "left").drop("_s")
+
+
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, copies, taken."""
     sized = docs.select(
@@ -66,7 +80,7 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     bands = bands.withColumn("rate", F.least(F.lit(float(MOST_COPIES)), rate)).withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.col("whole"))
     bands = bands.withColumn("rest", F.sum(F.col("band_size") * F.col("part")).over(Window.partitionBy("source")))
     bands = bands.select(F.col("source").alias("_s"), F.col("band").alias("_b"), F.col("source_size").cast("long").alias("source_size"), "target", "whole", "part", "rest")
-    rows = sized.join(bands, F.col("source").eqNullSafe(F.col("_s")) & (F.col("band") == F.col("_b"))).drop("_s", "_b")
+    rows = _with_source(sized, bands, "band").drop("_b")
     # Pareto rank q / (1 + q) lies in 0 to 1 and orders as q does; a document without a part never enters the sample.
     q = F.try_divide(F.col("u") * (1 - F.col("part")), (1 - F.col("u")) * F.col("part"))
     rows = rows.withColumn("q", F.when((F.col("part") > 0) & (F.col("size") > 0), q / (1 + q)))
@@ -76,19 +90,21 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     cells = cells.withColumn("below", F.coalesce(F.sum("cell_size").over(upto), F.lit(0)))
     state = F.when(F.col("below") + F.col("cell_size") <= F.col("cell_rest"), 1).when(F.col("below") < F.col("cell_rest"), 0).otherwise(-1)
     cells = cells.select(F.col("source").alias("_s"), F.col("cell").alias("_c"), "below", state.alias("state"))
-    rows = rows.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("cell") == F.col("_c")), "left").drop("_s", "_c")
-    # In the cell of the cut a document enters if it brings the sum nearer to what is wanted.
-    inside = Window.partitionBy("source", "cell", F.col("state") == 0, F.when(F.coalesce(F.col("state"), F.lit(1)) != 0, F.spark_partition_id())).orderBy("q", "doc_id", "size")
-    rows = rows.withColumn("sum", F.when(F.col("state") == 0, F.col("below") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))))
-    enters = F.when(F.col("state") == 0, F.col("sum") - F.col("size") / 2 <= F.col("rest")).otherwise(F.coalesce(F.col("state"), F.lit(-1)) == 1)
-    rows = materialise(rows.withColumn("enters", enters).drop("cell", "state", "below", "sum"), "mixing-ranks")
+    rows = _with_source(rows, cells, "cell").drop("_c")
+    rows = rows.withColumn("state", F.coalesce("state", F.lit(-1)))
+    # In the cell of the cut, one a source, a document enters if it brings the sum nearer to what is wanted.
+    inside = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = rows.where("state = 0").withColumn("sum", F.col("below") + F.sum("size").over(inside))
+    edge = edge.withColumn("enters", F.col("sum") - F.col("size") / 2 <= F.col("rest")).drop("sum")
+    rows = edge.unionByName(rows.where("state <> 0").withColumn("enters", F.col("state") == 1))
+    rows = materialise(rows.drop("cell", "state", "below"), "mixing-ranks")
     # One document a source enters or leaves late, where that brings the source nearer to its target.
     gaps = rows.groupBy(F.col("source").alias("_s")).agg((F.max("rest") - F.sum(F.when(F.col("enters"), F.col("size")).otherwise(0))).alias("gap"))
-    rows = rows.join(gaps, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = _with_source(rows, gaps)
     left = F.abs(F.col("gap") - F.when(F.col("enters"), -F.col("size")).otherwise(F.col("size")))
     late = F.when(F.col("q").isNotNull() & (left < F.abs("gap")), F.struct(left.alias("left"), "q", "doc_id", "size"))
     best = rows.groupBy(F.col("source").alias("_s")).agg(F.min(late).alias("best"))
-    rows = rows.join(best, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = _with_source(rows, best)
     is_best = F.coalesce((F.col("q") == F.col("best.q")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("size") == F.col("best.size")), F.lit(False))
     copies = F.col("whole") + F.when(F.col("enters") != is_best, 1).otherwise(0)
     return rows.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
