@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder; where the session names none (tests), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="voltspan-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,3 +69,33 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _trim() -> None:
+    """Hand freed memory back to the system; a worker that has had a large task would keep it while idle."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(f):
+    """A function for mapInArrow that leaves its worker small."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def tidy_group(f):
+    """A function for a group's table that leaves its worker small."""
+
+    def run(table):
+        out = f(table)
+        _trim()
+        return out
+
+    return run

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltspan.llm._io import tidy_group
+
 CHUNKS = "chunk string, part int, hashes binary, twice binary, docs binary"
 _TYPES = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 _NAMES = [x.split()[0] for x in CHUNKS.split(", ")]
@@ -60,7 +62,7 @@ def _answer(table: pa.Table) -> pa.Table:
 def answers(chunks: DataFrame) -> DataFrame:
     """Rows to group by chunk: the chunk's own one and the parts' answers."""
     none = F.lit(None).cast("binary")
-    repeats = chunks.where("part >= 0").select("chunk", "part", "hashes", "twice").groupBy("part").applyInArrow(_answer, "chunk string, part int, repeats binary, count long")
+    repeats = chunks.where("part >= 0").select("chunk", "part", "hashes", "twice").groupBy("part").applyInArrow(tidy_group(_answer), "chunk string, part int, repeats binary, count long")
     own = chunks.where("part = -1").select("chunk", "part", none.alias("repeats"), F.lit(None).cast("long").alias("count"), "hashes", "docs")
     return repeats.select("chunk", "part", "repeats", "count", none.alias("hashes"), none.alias("docs")).unionByName(own)
 

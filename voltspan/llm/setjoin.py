@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from voltspan.llm._blocks import Block, blocks, mix, signed, windows
 from voltspan.llm._components import components
-from voltspan.llm._io import materialise, partitions, release
+from voltspan.llm._io import materialise, partitions, release, tidy, tidy_group
 from voltspan.llm._skew import join_hot
 
 SHINGLE, PERCENT = 4, 85
@@ -38,7 +38,7 @@ BLOCK_ROWS = 64
 #: Pivots that each index list has in turn before the rest is matched.
 PIVOTS = 2
 #: Values that a part counts on average, at most; sets that are read for verification by a broadcast of their ids, at most.
-MOST_VALUES, MOST_BROADCAST = 2_000_000, 500_000
+MOST_VALUES, MOST_BROADCAST = 1_000_000, 500_000
 
 
 def shingle_sets(block: Block, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -168,12 +168,12 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         gone = pa.nulls(len(doc), pa.int64())
         return pa.concat_tables([mine, pa.table({"doc_id": gone, "row": gone, "n": pa.array(n[doc]), "s": pa.array(s[doc]), "cells": pa.nulls(len(doc), pa.binary()), "pos": pa.array(pos), "h": pa.array(signed(h))})])
 
-    chunks = materialise(docs.select("doc_id", "row", "text").mapInArrow(run, CHUNKS), "setjoin-chunks")
+    chunks = materialise(docs.select("doc_id", "row", "text").mapInArrow(tidy(run), CHUNKS), "setjoin-chunks")
     none = F.lit(None).cast("binary")
-    rare = chunks.where("part >= 0").drop("docs").groupBy("part").applyInArrow(_rarities, "chunk string, part long, rare binary")
+    rare = chunks.where("part >= 0").drop("docs").groupBy("part").applyInArrow(tidy_group(_rarities), "chunk string, part long, rare binary")
     both = rare.withColumn("docs", none).unionByName(chunks.where("part = -1").select("chunk", "part", none.alias("rare"), "docs"))
     schema = "doc_id long, row long, n long, s long, cells binary, pos long, h long"
-    out = materialise(both.groupBy("chunk").applyInArrow(entries, schema), "setjoin-prefixes", free=True)
+    out = materialise(both.groupBy("chunk").applyInArrow(tidy_group(entries), schema), "setjoin-prefixes", free=True)
     release(chunks)
     return out
 
@@ -207,7 +207,7 @@ def set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         ids = F.broadcast(ids)
     texts = docs.join(ids, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("s", "text")
     # Rows that repeat id and text give equal arrays.
-    return texts.mapInArrow(run, "s long, items binary").groupBy("s").agg(F.first("items").alias("items"))
+    return texts.mapInArrow(tidy(run), "s long, items binary").groupBy("s").agg(F.first("items").alias("items"))
 
 
 def _linked(common, nx, ny, percent: int):
@@ -247,14 +247,14 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
         half = join_hot(of, what.select(F.col("s").alias("x"), F.col(column).alias("a")), "x", "y")
         return join_hot(half, what.select(F.col("s").alias("y"), F.col(column).alias("b")), "y", "x").select("x", "y", "nx", "ny", "a", "b")
 
-    bounded = materialise(with_both(pairs, sets, "cells").mapInArrow(bound, schema), "setjoin-bounded", free=True)
+    bounded = materialise(with_both(pairs, sets, "cells").mapInArrow(tidy(bound), schema), "setjoin-bounded", free=True)
     likely = _linked(F.col("hi"), F.col("nx"), F.col("ny"), percent)
     open_pairs = bounded.where(likely).drop("hi")
     wanted = open_pairs.select(F.explode(F.array("x", "y")).alias("s")).distinct()
     wanted = materialise(sets.join(wanted, "s", "left_semi").select("s", "doc_id", "row"), "setjoin-wanted")
     arrays = materialise(set_arrays(docs, wanted, k), "setjoin-sets", free=True)
     open_pairs = materialise(open_pairs, "setjoin-likely")
-    found = with_both(open_pairs, arrays, "items").mapInArrow(exact, schema).withColumn("lo", F.col("hi"))
+    found = with_both(open_pairs, arrays, "items").mapInArrow(tidy(exact), schema).withColumn("lo", F.col("hi"))
     out = materialise(found.unionByName(bounded.where(~likely).withColumn("lo", F.lit(0).cast("long"))), "setjoin-verified", free=True)
     release(pairs, bounded, wanted, arrays, open_pairs)
     return out

@@ -17,8 +17,8 @@ twice in the corpus (counted over all anchors, by hash).
 5. Each document gets the starts of its repeated strings, and is cut.
 
 A hot string crosses an exchange once a task. Null text: empty. Texts under SPAN bytes lose nothing. Equal rows are judged
-alike, and rows that share a doc_id are one document for what is earlier. An empty table gives an empty result. Further
-columns are not looked at.
+alike, and rows that share a doc_id are one document for what is earlier; so are those without one, which come after all
+others. An empty table gives an empty result. Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,21 +28,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltspan.llm._blocks import SYMBOL, Block, as_bytes, blocks, mix, powers, prefix_sums, span_hash
-from voltspan.llm._io import materialise, partitions, release
+from voltspan.llm._blocks import PRIME, SYMBOL, Block, as_bytes, blocks, minus, mix, powers, prefix_sums, prime_powers, prime_prefixes, span_hash, times
+from voltspan.llm._io import materialise, partitions, release, tidy, tidy_group
 from voltspan.llm._repeats import CHUNKS, answers, ask, hits
 
 SPAN, GRAM = 100, 50
 REACH = SPAN - GRAM
 WIDTH = SPAN + REACH + 2
-CHUNK, RUN = 16 << 20, 400_000
+CHUNK, RUN = 16 << 20, 150_000
 #: Sampled anchors a chunk, and at most in all, that place the splitters.
 SAMPLED, MOST_SAMPLED = 32, 50_000
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_SECOND = np.random.Generator(np.random.PCG64(99)).integers(0, 2**64, 256, dtype=np.uint64)
+#: Base of a second, independent hash of open strings, modulo a prime.
+_BASE = 1_118_033_988_749_894_849
+_UNBASE = pow(_BASE, -1, PRIME)
+#: Stands for a missing doc_id.
+_LAST = (1 << 63) - 1
 
 
 def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +106,7 @@ def anchor_chunks(docs: DataFrame, parts: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.mapInArrow(tidy(run), CHUNKS)
 
 
 def _flags(table: pa.Table) -> pa.Table:
@@ -242,7 +246,7 @@ def runs(rows: DataFrame, splitters: list[bytes]) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, ROWS)
+    return rows.mapInArrow(tidy(run), ROWS)
 
 
 class LoserTree:
@@ -311,10 +315,9 @@ def _windows(heads: np.ndarray, place: np.ndarray, low: np.ndarray) -> tuple[np.
     h = np.repeat(np.arange(len(heads)), n)
     ahead = before[h] - (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))
     start = h * (SPAN + REACH) + REACH - ahead
-    out = []
-    for table in (SYMBOL, _SECOND):
-        out.append(mix(span_hash(prefix_sums(table[line]), start, start + SPAN)))
-    return np.stack(out, axis=1), np.stack([place[h, 0], place[h, 1], place[h, 2] - ahead], axis=1)
+    sums = prime_prefixes(line.astype(np.uint64) + np.uint64(1), _BASE)
+    second = times(minus(sums[start + SPAN], sums[start]), prime_powers(_UNBASE, len(line))[start])
+    return np.stack((mix(span_hash(prefix_sums(SYMBOL[line]), start, start + SPAN)), second), axis=1), np.stack([place[h, 0], place[h, 1], place[h, 2] - ahead], axis=1)
 
 
 def _earliest(hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -431,31 +434,42 @@ def spans(first: list[int], last: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _known_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text), ranges (first, last) of starts of strings that also start earlier."""
+    """doc_id (missing ones as _LAST), row (hash of the text), ranges (first, last) of starts of strings that also start earlier."""
     spark = docs.sparkSession
     parts = max(2, partitions(spark))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("doc_id is not null")
+    rows = docs.select(_known_id().alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     chunks = materialise(anchor_chunks(rows, parts), "suffix-anchors")
-    flags = answers(chunks).groupBy("chunk").applyInArrow(_flags, "doc_id long, row long, ordinals binary").distinct()
-    seen = chunks.where("part = -1").select("twice").limit(MOST_SAMPLED // SAMPLED).toArrow().column("twice").to_pylist()
+    flags = answers(chunks).groupBy("chunk").applyInArrow(tidy_group(_flags), "doc_id long, row long, ordinals binary").distinct()
+    # Chunk names are random, so these are a fair sample of all chunks.
+    seen = chunks.where("part = -1").select("chunk", "twice").orderBy("chunk").limit(MOST_SAMPLED // SAMPLED).toArrow().column("twice").to_pylist()
     sample = sorted(x[i : i + GRAM] for x in seen for i in range(0, len(x), GRAM))
     splitters = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     wanted = rows.join(flags, ["doc_id", "row"]).select("doc_id", "row", "text", "ordinals")
     found = materialise(runs(wanted, splitters), "suffix-runs", free=True)
     release(chunks)
-    merged = materialise(found.where("part is not null").groupBy("part").applyInArrow(_merge(parts), ROWS), "suffix-merged", free=True)
-    settled = merged.where("part is not null").groupBy("part").applyInArrow(_settle, "doc_id long, row long, first long, last long")
+    merged = materialise(found.where("part is not null").groupBy("part").applyInArrow(tidy_group(_merge(parts)), ROWS), "suffix-merged", free=True)
+    settled = merged.where("part is not null").groupBy("part").applyInArrow(tidy_group(_settle), "doc_id long, row long, first long, last long")
     known = [x.where("part is null").select("doc_id", "row", "first", "last") for x in (found, merged)]
     out = materialise(settled.unionByName(known[0]).unionByName(known[1]), "suffix-ranges", free=True)
     release(found, merged)
     return out
 
 
+#: Name of the column that cut adds; none of the documents'.
+RANGES = "voltspan suffix ranges"
+
+
 def cut(docs: DataFrame) -> DataFrame:
-    """Adds ranges, the repeated starts of each row, to docs; null where nothing repeats."""
-    hits = repeated(docs).groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    return docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_row", F.xxhash64("text")).join(hits, (F.col("_id") == F.col("_d")) & (F.col("_row") == F.col("_r")), "left").drop("_id", "_row", "_d", "_r")
+    """Adds RANGES, the repeated starts of each row, to docs; null where nothing repeats."""
+    d, r, i, w = (f"voltspan suffix {c}" for c in "driw")
+    hits = repeated(docs).groupBy(F.col("doc_id").alias(d), F.col("row").alias(r)).agg(F.collect_set(F.struct("first", "last")).alias(RANGES))
+    own = docs.withColumns({i: _known_id(), w: F.xxhash64("text")})
+    return own.join(hits, (F.col(f"`{i}`") == F.col(f"`{d}`")) & (F.col(f"`{w}`") == F.col(f"`{r}`")), "left").drop(d, r, i, w)
 
 
 def _kept(raw: bytes, ranges: list[dict] | None) -> tuple[bytes, int]:
@@ -475,13 +489,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw, ranges in zip(as_bytes(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+            for raw, ranges in zip(as_bytes(batch.column("text")), batch.column(RANGES).to_pylist(), strict=True):
                 kept, n = _kept(raw, ranges)
                 rows.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()))
             a, b, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "text", "ranges").mapInArrow(run, SCHEMA)
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "text", RANGES).mapInArrow(tidy(run), SCHEMA)
 
 
 def removed_text(docs: DataFrame) -> DataFrame:
@@ -489,9 +503,9 @@ def removed_text(docs: DataFrame) -> DataFrame:
 
     def run(raw_texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in raw_texts:
-            texts = [None if t is None else _kept(raw, ranges)[0].decode("utf-8", "ignore") for t, raw, ranges in zip(batch.column("text"), as_bytes(batch.column("text")), batch.column("ranges").to_pylist(), strict=True)]
+            texts = [None if t is None else _kept(raw, ranges)[0].decode("utf-8", "ignore") for t, raw, ranges in zip(batch.column("text"), as_bytes(batch.column("text")), batch.column(RANGES).to_pylist(), strict=True)]
             at = batch.schema.get_field_index("text")
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)][:-1]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return cut(docs).select(*docs.columns, "ranges").mapInArrow(run, docs.schema)
+    return cut(docs).select(*docs.columns, RANGES).mapInArrow(tidy(run), docs.schema)
