@@ -70,7 +70,23 @@ def top_k(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int) ->
 
 def shares(df: DataFrame, key: str, value: str) -> DataFrame:
     """Participation: negative values count as 0; a group without any weight is shared evenly."""
-    w = Window.partitionBy(key)
-    clipped = F.greatest(F.col(value), F.lit(0.0))
-    total = F.sum(clipped).over(w)
-    return df.withColumn("share", F.when(total > 1e-9, clipped / total).otherwise(F.lit(1.0) / F.count("*").over(w)))
+    clipped = F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0))
+    total = df.groupBy(F.col(key).alias("_key")).agg(F.sum(clipped).alias("_total"), F.count("*").alias("_n"))
+    joined = df.join(total, F.col(key).eqNullSafe(F.col("_key")))
+    share = F.when(F.col("_total") > 1e-9, clipped / F.col("_total")).otherwise(F.lit(1.0) / F.col("_n"))
+    return joined.withColumn("share", share).drop("_key", "_total", "_n")
+
+
+def interpolated(df: DataFrame, curve: DataFrame, key: str, at: str, x: str, y: str) -> DataFrame:
+    """Adds value: the curve of the row's key at a place, linear between its points and level beyond them.
+
+    A curve has few points, so a key's are one array; rows are never sorted.
+    """
+    points = curve.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("_points"))
+    joined = df.join(points, key, "left")
+    low = F.try_element_at(F.filter("_points", lambda p: p["x"] <= F.col(at)), F.lit(-1))
+    high = F.try_element_at(F.filter("_points", lambda p: p["x"] >= F.col(at)), F.lit(1))
+    joined = joined.withColumns({"_low": low, "_high": high})
+    t = F.least(F.greatest(F.try_divide(F.col(at) - F.col("_low.x"), F.col("_high.x") - F.col("_low.x")), F.lit(0.0)), F.lit(1.0))
+    value = F.when(F.col("_low").isNull(), F.col("_high.y")).when(F.col("_high").isNull() | (F.col("_high.x") == F.col("_low.x")), F.col("_low.y"))
+    return joined.withColumn("value", value.otherwise(F.col("_low.y") + (F.col("_high.y") - F.col("_low.y")) * t)).drop("_points", "_low", "_high")

@@ -7,39 +7,16 @@ reference is l_extendedprice and the calculated value p_retailprice * l_quantity
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltspan.functions import stats
-from voltspan.operators import catalog, graph, kernels
+from voltspan.operators import catalog, graph, hierarchy
+from voltspan.plans.base import QUERIES, SQL, Tables, n, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def n(name: str = "n"):
-    return F.count("*").cast("long").alias(name)
+__all__ = ["QUERIES", "SQL", "Tables"]
 
 
 @query("select c_custkey, c_name, c_acctbal from customer where contains(lower(c_name || ' ' || c_custkey), '11') order by c_acctbal desc nulls last, c_custkey limit 20 offset 20")
@@ -64,7 +41,7 @@ def overlap_band_filter(t):
 
 @query("select r_name, n_name, count(*)::bigint n_customers, string_agg(distinct c_mktsegment, ' / ' order by c_mktsegment desc) segments from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by all")
 def hierarchy_rollup(t):
-    joined = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy("r_name", "n_name").agg(n("n_customers"), F.array_join(F.reverse(F.array_sort(F.collect_set("c_mktsegment"))), " / ").alias("segments"))
 
 
@@ -75,16 +52,13 @@ def ancestor_chain(t):
     node = t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.concat(F.lit("N"), "c_nationkey").alias("parent"))
     tree = t.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("up"), F.concat(F.lit("R"), "n_regionkey").alias("above"))
     tree = tree.unionByName(t.region.select(F.concat(F.lit("R"), "r_regionkey").alias("up"), F.lit(None).cast("string").alias("above")))
-    at = node.select("id", F.col("id").alias("ancestor"), "parent", F.lit(0).cast("long").alias("depth"))
-    for _ in range(2):  # levels of this hierarchy
-        step = at.join(tree, F.col("parent") == F.col("up"), "left")
-        at = step.select("id", F.coalesce("up", "ancestor").alias("ancestor"), F.col("above").alias("parent"), F.when(F.col("up").isNotNull(), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
-    return at.where("parent is null").select("id", "ancestor", "depth")
+    chains = hierarchy.ancestors(node.select("id", "parent"), tree.select(F.col("up").alias("id"), F.col("above").alias("parent")), 24)
+    return chains.groupBy("id").agg(F.max_by("ancestor", "depth").alias("ancestor"), F.max("depth").alias("depth"))
 
 
 @query("select n_name, count(*)::bigint n_lines, round(sum(l_quantity), 4) quantity from lineitem left join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey group by all")
 def two_hop_join(t):
-    joined = t.lineitem.select("l_orderkey", "l_quantity").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    joined = t.lineitem.select("l_orderkey", "l_quantity").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"), "left").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return joined.groupBy("n_name").agg(n("n_lines"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
 
 
@@ -135,14 +109,18 @@ def gated_delta(t):
     return d.withColumn("reason", reason).select("o_custkey", "reason", F.when(F.col("reason") == "OK", F.round("delta", 2)).alias("delta"))
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def _large_partial(t) -> DataFrame:
+    return t.orders.where("o_orderstatus = 'P' and o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey"))
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P' and o_totalprice > 350000)")
 def unmatched_anti(t):
-    return t.customer.select("c_custkey").join(t.orders.select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return t.customer.select("c_custkey").join(_large_partial(t), "c_custkey", "left_anti")
 
 
-@query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P' and o_totalprice > 350000)")
 def matched_semi(t):
-    return t.customer.select("c_custkey").join(t.orders.select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    return t.customer.select("c_custkey").join(_large_partial(t), "c_custkey", "left_semi")
 
 
 _LIMITS = [(0, None, 10.0), (3, None, 20.0), (None, "BUILDING", 30.0), (3, "BUILDING", 40.0), (7, "MACHINERY", 50.0), (None, None, 5.0)]
@@ -152,7 +130,7 @@ _LIMITS = [(0, None, 10.0), (3, None, 20.0), (None, "BUILDING", 30.0), (3, "BUIL
 m as (select c_custkey, cap, rank() over (partition by c_custkey order by (nation is not null)::int + (segment is not null)::int desc) r from customer join p on (nation is null or nation = c_nationkey) and (segment is null or segment = c_mktsegment))
 select c_custkey, case when count(distinct cap) = 1 then min(cap) end cap, count(distinct cap) > 1 conflict from m where r = 1 group by 1""")
 def specificity_limits(t):
-    p = t._spark.createDataFrame(_LIMITS, "nation int, segment string, cap double")
+    p = t.spark.createDataFrame(_LIMITS, "nation int, segment string, cap double")
     joined = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").join(F.broadcast(p), (F.col("nation").isNull() | (F.col("nation") == F.col("c_nationkey"))) & (F.col("segment").isNull() | (F.col("segment") == F.col("c_mktsegment"))))
     exact = F.col("nation").isNotNull().cast("int") + F.col("segment").isNotNull().cast("int")
     best = joined.withColumn("r", F.rank().over(Window.partitionBy("c_custkey").orderBy(exact.desc()))).where("r = 1")
@@ -166,11 +144,6 @@ def set_keyed_match(t):
     return sets.groupBy(F.array_join("k", ",").alias("members")).agg(n(), F.min("l_orderkey").alias("first_order")).where("n > 1")
 
 
-@query("select 'union' op, k::bigint k from (select c_nationkey k from customer where c_custkey % 3 = 0 union select s_nationkey from supplier) union all select 'except', k from (select c_nationkey k from customer where c_custkey % 3 = 0 except select s_nationkey from supplier where s_suppkey % 4 = 0) union all select 'intersect', k from (select c_nationkey k from customer where c_custkey % 3 = 0 intersect select s_nationkey from supplier where s_suppkey % 4 = 0)")
-def set_ops(t):
-    return _set_ops(t.customer.where("c_custkey % 3 = 0"), t.supplier, t.supplier.where("s_suppkey % 4 = 0"))
-
-
 def _set_ops(customers: DataFrame, suppliers: DataFrame, others: DataFrame) -> DataFrame:
     c = customers.select(F.col("c_nationkey").cast("long").alias("k"))
     s, some = (x.select(F.col("s_nationkey").cast("long").alias("k")) for x in (suppliers, others))
@@ -183,7 +156,7 @@ def _set_ops(customers: DataFrame, suppliers: DataFrame, others: DataFrame) -> D
 
 
 @query("select 'union' op, k::bigint k from (select c_nationkey k from customer union select s_nationkey from supplier) union all select 'except', k from (select c_nationkey k from customer except select s_nationkey from supplier) union all select 'intersect', k from (select c_nationkey k from customer intersect select s_nationkey from supplier)")
-def set_ops_whole(t):
+def set_ops(t):
     return _set_ops(t.customer, t.supplier, t.supplier)
 
 
@@ -217,7 +190,7 @@ def quality_findings(t):
     rules = [("ERROR", "QUANTITY", F.col("l_quantity") > 45), ("WARNING", "DISCOUNT", F.col("l_discount") >= 0.09), ("INFO", "TAX", F.col("l_tax") == 0)]
     wide = t.lineitem.agg(*(F.count_if(c).alias(code) for _, code, c in rules))
     found = wide.select(F.explode(F.array(*(F.struct(F.lit(s).alias("severity"), F.col(code).alias("c")) for s, code, _ in rules))).alias("f")).select("f.*")
-    grid = t._spark.createDataFrame([("BLOCKER",), ("ERROR",), ("WARNING",), ("INFO",)], "severity string")
+    grid = t.spark.createDataFrame([("BLOCKER",), ("ERROR",), ("WARNING",), ("INFO",)], "severity string")
     return grid.join(found, "severity", "left").groupBy("severity").agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n"), F.count("c").cast("long").alias("n_rules"))
 
 
@@ -239,10 +212,9 @@ select l_returnflag, quantile_disc(v, 0.95) nearest, round(quantile_cont(v, 0.95
 def quantile_suite(t):
     df = t.lineitem.select("l_returnflag", "l_extendedprice")
     out = df.groupBy("l_returnflag").agg(stats.nearest_rank("l_extendedprice", 0.95).alias("nearest"), F.round(stats.interpolated("l_extendedprice", 0.95), 6).alias("interpolated"))
-    w = Window.partitionBy("l_returnflag")
-    ranked = df.withColumn("k", F.row_number().over(w.orderBy("l_extendedprice")) - 1).withColumn("n", F.count("*").over(w))
-    pick = lambda place, name: F.max(F.when(F.col("k") == F.floor(place), F.col("l_extendedprice"))).alias(name)
-    return out.join(ranked.groupBy("l_returnflag").agg(pick((F.col("n") - 1) * 0.95, "floor_index"), pick(F.col("n") / 2, "upper_median"), pick((F.col("n") - 1) / 2, "lower_median")), "l_returnflag")
+    size = F.col("n")
+    places = {"floor_index": F.floor((size - 1) * 0.95), "upper_median": F.floor(size / 2), "lower_median": F.floor((size - 1) / 2)}
+    return out.join(stats.at_places(df, "l_returnflag", "l_extendedprice", places), "l_returnflag")
 
 
 @query(f"with {_METRIC} select l_returnflag, l_linestatus, count(*)::bigint n, round(avg(abs(calc - ref)), 4) mae, round(sqrt(avg((calc - ref) * (calc - ref))), 4) rmse from m group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())")
@@ -257,7 +229,7 @@ select g.p_brand, coalesce(eligible, 0) eligible, coalesce(matched, 0) matched,
 def scorecard(t):
     ok = F.col("l_linenumber") % 5 != 0
     s = _metric(t).where("l_returnflag = 'R'").groupBy("p_brand").agg(n("eligible"), F.count_if(ok).alias("matched"), F.count_if(ok & (F.abs(F.col("calc") - F.col("ref")) <= 100 + 0.5 * F.abs("ref"))).alias("n_within"))
-    grid = t.part.select("p_brand").union(t._spark.createDataFrame([("Brand#none",)], "p_brand string")).distinct()
+    grid = t.part.select("p_brand").union(t.spark.createDataFrame([("Brand#none",)], "p_brand string")).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return grid.join(s, "p_brand", "left").select("p_brand", zero("eligible"), zero("matched"), zero("n_within"), F.round(F.col("matched") / F.nullif("eligible", F.lit(0)), 6).alias("coverage"), F.round(F.col("n_within") / F.nullif("matched", F.lit(0)), 6).alias("agreement"))
 
@@ -277,35 +249,24 @@ lo as (select p_partkey, max(s) s0 from q join c using (p_brand) where s <= p_si
 select q.p_partkey, round(case when lo.s0 is null then h.v when hi.s1 is null then l.v when hi.s1 = lo.s0 then l.v else l.v + (h.v - l.v) * (p_size - lo.s0) / (hi.s1 - lo.s0) end, 6) price from q left join lo using (p_partkey) left join hi using (p_partkey) left join c l on l.p_brand = q.p_brand and l.s = lo.s0 left join c h on h.p_brand = q.p_brand and h.s = hi.s1""")
 def interpolate_curve(t):
     curve = t.part.where("p_size % 10 = 0").groupBy("p_brand", F.col("p_size").alias("s")).agg(F.avg("p_retailprice").alias("v"))
-    points = curve.select("p_brand", "s", "v", F.lit(None).cast("long").alias("p_partkey")).unionByName(t.part.select("p_brand", F.col("p_size").alias("s"), F.lit(None).cast("double").alias("v"), "p_partkey"))
-    w = Window.partitionBy("p_brand").orderBy("s")
-    known = F.when(F.col("v").isNotNull(), F.struct("s", "v"))
-    p = points.withColumn("lo", F.last(known, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(known, True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("p_partkey is not null")
-    t01 = F.try_divide(F.col("s") - F.col("lo.s"), F.col("hi.s") - F.col("lo.s"))
-    price = F.when(F.col("lo").isNull(), F.col("hi.v")).when(F.col("hi").isNull() | (F.col("hi.s") == F.col("lo.s")), F.col("lo.v")).otherwise(F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * t01)
-    return p.select("p_partkey", F.round(price, 6).alias("price"))
+    price = catalog.interpolated(t.part.select("p_partkey", "p_brand", "p_size"), curve, "p_brand", "p_size", "s", "v")
+    return price.select("p_partkey", F.round("value", 6).alias("price"))
 
 
 def _edges(t) -> DataFrame:
-    """A sparse network between suppliers (even nodes) and parts (odd nodes)."""
-    return t.lineitem.where("l_orderkey % 300 = 0").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
-
-
-def _all_edges(t) -> DataFrame:
     """All links between suppliers and parts: one component holds nearly all nodes."""
     return t.lineitem.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
 
 
-_ALL_EDGES = "e as (select distinct l_suppkey * 2 a, l_partkey * 2 + 1 b from lineitem), d as (select a, b from e union all select b, a from e)"
-_EDGES = "e as (select distinct l_suppkey * 2 a, l_partkey * 2 + 1 b from lineitem where l_orderkey % 300 = 0), d as (select a, b from e union all select b, a from e)"
+_EDGES = "e as (select distinct l_suppkey * 2 a, l_partkey * 2 + 1 b from lineitem), d as (select a, b from e union all select b, a from e)"
 
 
-@query(f"with recursive {_EDGES}, r as (select a node, a tip from d union select node, b from r join d on d.a = r.tip) select node, min(tip) component from r group by 1")
+@query()
 def components_bipartite(t):
     return graph.components(_edges(t))
 
 
-@query(f"with recursive {_EDGES}, r as (select a node, a tip from d union select node, b from r join d on d.a = r.tip), c as (select node, min(tip) component from r group by 1) select component, count(distinct node)::bigint n_nodes, count(*) filter (node % 2 = 0)::bigint n_suppliers, max(node) largest from c group by 1")
+@query()
 def component_stats(t):
     return _component_stats(graph.components(_edges(t)))
 
@@ -316,20 +277,10 @@ def _component_stats(labels: DataFrame) -> DataFrame:
 
 @query()
 def bridges(t):
-    edges = _all_edges(t)
+    edges = _edges(t)
     return graph.bridges(edges, graph.components(edges)).orderBy("a", "b")
 
 
-@query()
-def components_whole(t):
-    return graph.components(_all_edges(t))
-
-
-@query()
-def component_stats_whole(t):
-    return _component_stats(graph.components(_all_edges(t)))
-
-
 @query(f"with recursive {_EDGES}, r as (select min(a) node, 0 hops from e union select b, hops + 1 from r join d on d.a = r.node where hops < 4) select node, min(hops)::bigint hops from r group by 1")
 def bfs_bounded(t):
     return _four_hops(_edges(t))
@@ -339,11 +290,6 @@ def _four_hops(edges: DataFrame) -> DataFrame:
     return graph.within(edges, edges.agg(F.min("a").alias("node")), 4)
 
 
-@query(f"with recursive {_ALL_EDGES}, r as (select min(a) node, 0 hops from e union select b, hops + 1 from r join d on d.a = r.node where hops < 4) select node, min(hops)::bigint hops from r group by 1")
-def bfs_bounded_whole(t):
-    return _four_hops(_all_edges(t))
-
-
 @query(f"with {_EDGES}, s as (select a i, a j, 1 y from e union all select b, b, 1 from e union all select a, b, -1 from e union all select b, a, -1 from e) select i, j, sum(y)::bigint y from s group by all")
 def ybus_assembly(t):
     return _ybus(_edges(t))
@@ -354,68 +300,28 @@ def _ybus(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(stamp("a", "a", 1), stamp("b", "b", 1), stamp("a", "b", -1), stamp("b", "a", -1))).alias("s")).groupBy("s.i", "s.j").agg(F.sum("s.y").cast("long").alias("y"))
 
 
-@query(f"with {_ALL_EDGES}, s as (select a i, a j, 1 y from e union all select b, b, 1 from e union all select a, b, -1 from e union all select b, a, -1 from e) select i, j, sum(y)::bigint y from s group by all")
-def ybus_assembly_whole(t):
-    return _ybus(_all_edges(t))
-
-
 @query("select k::bigint nation, round(sum(v), 4) injection from (select c_nationkey k, -c_acctbal v from customer union all select s_nationkey, s_acctbal from supplier) group by 1")
 def nodal_injection(t):
     both = t.customer.select(F.col("c_nationkey").alias("k"), (-F.col("c_acctbal")).alias("v")).unionByName(t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("v")))
     return both.groupBy(F.col("k").cast("long").alias("nation")).agg(F.round(F.sum("v"), 4).alias("injection"))
 
 
-def _branches(t) -> DataFrame:
-    """Rings of nations, one island a region; a ring's chord and injections follow from the keys."""
-    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    ring = t.nation.withColumn("k", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("n_nationkey").over(w), F.first("n_nationkey").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    p = lambda c: F.when(F.col(c) % 2 == 0, 10.0).otherwise(-5.0)
-    return ring.where("n_nationkey <> next").select(F.col("n_regionkey").cast("long").alias("island"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("a"), F.col("next").cast("long").alias("b"), (0.1 + F.col("k") * 0.01).alias("x"), p("n_nationkey").alias("pa"), p("next").alias("pb"), (0.01 * F.col("k")).alias("r"))
-
-
-@query()
-def dc_flow(t):
-    return kernels.dc_flow(_branches(t)).withColumn("flow", F.round("flow", 6))
-
-
-@query()
-def lodf_screen(t):
-    return kernels.outage_screen(_branches(t)).withColumns({"delta": F.round("delta", 6), "post": F.round("post", 6)})
-
-
-@query()
-def short_circuit(t):
-    b = _branches(t)
-    sources = b.groupBy("island").agg(F.min("a").alias("node")).select("island", "node", F.lit(0.02).alias("r"), F.lit(0.5).alias("x"))
-    return kernels.short_circuit(b, sources, 154.0).withColumns({"ikss_ka": F.round("ikss_ka", 6), "skss_mva": F.round("skss_mva", 4)})
-
-
-@query("select l_orderkey, l_linenumber, l_partkey, metric, value from (select l_orderkey, l_linenumber, l_partkey, l_quantity quantity, l_discount discount, l_tax tax from lineitem where l_orderkey % 5 = 0) unpivot (value for metric in (quantity, discount, tax))")
+@query("select l_orderkey, l_linenumber, l_partkey, metric, value from (select l_orderkey, l_linenumber, l_partkey, l_quantity quantity, l_discount discount, l_tax tax from lineitem) unpivot (value for metric in (quantity, discount, tax))")
 def unpivot_metrics(t):
-    return _metrics(t.lineitem.where("l_orderkey % 5 = 0"))
+    return _metrics(t.lineitem)
 
 
 def _metrics(lines: DataFrame) -> DataFrame:
     return lines.unpivot(["l_orderkey", "l_linenumber", "l_partkey"], [F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax")], "metric", "value")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, metric, value from (select l_orderkey, l_linenumber, l_partkey, l_quantity quantity, l_discount discount, l_tax tax from lineitem) unpivot (value for metric in (quantity, discount, tax))")
-def unpivot_metrics_whole(t):
-    return _metrics(t.lineitem)
-
-
-@query("select vec_id, len(embedding)::bigint n, round(list_sum(list_transform(embedding[1:4], lambda x: x::double)), 4) + 0.0 as head from embeddings")
-def matrix_to_points(t):
-    return _points(t).select("vec_id", F.size("p").cast("long").alias("n"), (F.round(F.aggregate(F.slice("p", 1, 4), F.lit(0.0), lambda acc, x: acc + x["val"].cast("double")), 4) + F.lit(0.0)).alias("head"))
-
-
 def _points(t) -> DataFrame:
     cells = t.embeddings.select("vec_id", F.posexplode("embedding").alias("col", "val"))
     return cells.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("p"))
 
 
 @query("select vec_id, len(embedding)::bigint n, array_to_string(list_transform(embedding, lambda x: floor(x::double * 1e9)::bigint), ',') as points from embeddings")
-def matrix_to_points_whole(t):
+def matrix_to_points(t):
     # In whole units of 1e-9, since the engines write floats differently.
     whole = F.transform("p", lambda x: F.floor(x["val"].cast("double") * F.lit(1e9)).cast("string"))
     return _points(t).select("vec_id", F.size("p").cast("long").alias("n"), F.array_join(whole, ",").alias("points"))
@@ -452,6 +358,9 @@ def text_normalise(t):
     # Compatibility decomposition and removal of marks: a JVM expression has no such function, so Arrow batches do it.
     @F.pandas_udf("string")
     def plain(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
+        return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
     return t.documents.select("doc_id", F.sha2(F.regexp_replace(F.lower(plain("text")), "[^a-z0-9_]+", ""), 256).alias("key"))
+
+
+from voltspan.plans import analytics, joins, network, ordering, predicates, scalars  # noqa: E402, F401
