@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -12,11 +13,14 @@ PARTS = 64
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in the shared folder, or by a reliable checkpoint where none is named."""
+    """Cut lineage by a table in the shared folder; where none is named (tests), in a temporary one of this machine."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        return df.cache()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="voltspan-settled-")
+        spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/voltspan/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

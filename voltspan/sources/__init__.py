@@ -1 +1 @@
-
+"""Readers: model files, archives, workbooks and delimited text."""
