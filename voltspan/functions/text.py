@@ -64,3 +64,13 @@ def csv_cell(value: Column) -> Column:
     text = F.when(text.isin("NaN", "Infinity", "-Infinity"), "").otherwise(text)
     safe = F.when(F.regexp_like(text, F.lit(r"^[\s\x00-\x1f]*[=+@-]")), F.concat(F.lit("'"), text)).otherwise(text)
     return F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def measurement(value: Column) -> Column:
+    """A measured value as shown: one decimal with a comma, three digits where it is tiny, an exponent below 1e-6; zero has no
+    sign, and what is missing is a dash."""
+    size = F.abs(value)
+    tiny = F.floor(-F.log10(size)) + 3
+    digits = F.format_string("%.6f", value)
+    shown = F.when(size == 0, "0").when(size < 1e-6, F.format_string("%.2e", value)).when(size < 0.1, digits.substr(F.lit(1), F.when(value < 0, 4).otherwise(3) + F.least(tiny, F.lit(6)).cast("int"))).otherwise(F.format_string("%.1f", value))
+    return F.when(value.isNull() | F.isnan(value), "—").otherwise(F.replace(shown, F.lit("."), F.lit(",")))

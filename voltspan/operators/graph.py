@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARTS = 64
@@ -92,3 +92,27 @@ def within(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
         front = settle(reached.join(seen, "node", "left_anti").select("node", F.lit(k).cast("long").alias("hops")), "front")
         seen = seen.unionByName(front)
     return seen
+
+
+def paths(edges: DataFrame, start: DataFrame, stop: Column, hops: int) -> DataFrame:
+    """src, path, hops: the shortest way from each start (node) to a tip for which stop holds, in at most so many edges.
+
+    Of equally short ways the one whose text is least. Each node that a source has met is met once, so a round holds at most as
+    many rows as there are nodes for each source.
+    """
+    both = edges.select(F.col("a").alias("tip"), F.col("b").alias("next")).unionByName(edges.select(F.col("b").alias("tip"), F.col("a").alias("next"))).distinct()
+    front = start.select(F.col("node").alias("src"), F.col("node").alias("tip"), F.col("node").cast("string").alias("path"), F.lit(0).cast("long").alias("hops"))
+    seen, found = front.select("src", "tip"), None
+    for k in range(hops + 1):
+        hit = front.where(stop).groupBy("src").agg(F.min("path").alias("path"), F.first("hops").alias("hops"))
+        found = hit if found is None else found.unionByName(hit)
+        if k == hops:
+            break
+        going = front.join(hit.select("src"), "src", "left_anti")
+        step = going.join(both, "tip").select("src", F.col("next").alias("tip"), F.concat_ws("-", "path", "next").alias("path"))
+        step = step.join(seen, ["src", "tip"], "left_anti").groupBy("src", "tip").agg(F.min("path").alias("path"))
+        front = settle(step.withColumn("hops", F.lit(k + 1).cast("long")), "paths")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front.select("src", "tip"))
+    return found
