@@ -116,3 +116,35 @@ def paths(edges: DataFrame, start: DataFrame, stop: Column, hops: int) -> DataFr
             break
         seen = seen.unionByName(front.select("src", "tip"))
     return found
+
+
+def bridge_flows(edges: DataFrame, injections: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """a, b, flow of edges that are bridges: what the nodes on a's side inject; injections (node, p). Edges on a cycle are left out.
+
+    What cycles hold together is one block, and blocks and bridges are a forest: blocks with one bridge left hand their sum over
+    it, round by round. Where a component's injections don't balance, the rest shows at the last block.
+    """
+    labels = components(edges)
+    cut = settle(bridges(edges, labels).select("a", "b"), "cut")
+    inner = components(edges.join(cut, ["a", "b"], "left_anti")).select("node", F.col("component").alias("block"))
+    block = settle(labels.select("node").join(inner, "node", "left").select("node", F.coalesce("block", "node").alias("block")), "blocks")
+    held = settle(block.join(injections, "node", "left").groupBy("block").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p")), "held")
+    end = lambda c: block.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}"))
+    tree = settle(cut.join(end("a"), "a").join(end("b"), "b"), "tree")
+    found = []
+    for _ in range(rounds):
+        if tree.isEmpty():
+            break
+        ends = tree.select(F.col("block_a").alias("block"), "a", "b").unionByName(tree.select(F.col("block_b").alias("block"), "a", "b"))
+        leaves = ends.groupBy("block").agg(F.count("*").alias("_n")).where("_n = 1").select("block")
+        # Two blocks that have only each other: the lesser one hands over.
+        given = ends.join(leaves, "block").groupBy("a", "b").agg(F.min("block").alias("block"))
+        moved = tree.join(given, ["a", "b"]).join(held, "block").select("a", "b", "block", "p", (F.col("block") == F.col("block_a")).alias("from_a"), F.when(F.col("block") == F.col("block_a"), F.col("block_b")).otherwise(F.col("block_a")).alias("to"))
+        moved = settle(moved, "moved")
+        found.append(moved.select("a", "b", F.when(F.col("from_a"), F.col("p")).otherwise(-F.col("p")).alias("flow")))
+        taken = moved.groupBy(F.col("to").alias("block")).agg(F.sum("p").alias("more"))
+        held = settle(held.join(taken, "block", "left").select("block", (F.col("p") + F.coalesce("more", F.lit(0.0))).alias("p")), "held")
+        tree = settle(tree.join(moved.select("a", "b"), ["a", "b"], "left_anti"), "tree")
+    if not found:
+        return cut.withColumn("flow", F.lit(0.0))
+    return functools.reduce(DataFrame.unionByName, found)

@@ -80,6 +80,16 @@ def component_identity(t):
     return members.select("component", F.conv(text.fnv1a(F.col("members")).cast("string"), 10, 36).alias("identity"))
 
 
+@query(f"""with recursive {_CHAINS}, p as (select id, component, c_acctbal - avg(c_acctbal) over (partition by component) p from c join customer on c_custkey = id), f as (select id, sum(p) over (partition by component order by id) flow from p) select a, b, round(flow, 4) flow from b join f on f.id = b.a""")
+def switch_flow(t):
+    edges = _chains(t)
+    labels = graph.components(edges)
+    power = labels.join(t.customer.select(F.col("c_custkey").alias("node"), "c_acctbal"), "node")
+    mean = power.groupBy("component").agg(F.avg("c_acctbal").alias("mean"))
+    balanced = power.join(mean, "component").select("node", (F.col("c_acctbal") - F.col("mean")).alias("p"))
+    return graph.bridge_flows(edges, balanced).select("a", "b", F.round("flow", 4).alias("flow"))
+
+
 @query("select sha256(string_agg(c_custkey || ':' || c_nationkey, ';' order by c_custkey)) as identity from customer where c_nationkey < 3")
 def topology_identity(t):
     rows = t.customer.where("c_nationkey < 3").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_nationkey"))).alias("r"))
@@ -136,13 +146,22 @@ def short_circuit(t):
 
 @query()
 def ac_flow(t):
+    return _ac_flow(t, False)
+
+
+@query()
+def fast_ac_flow(t):
+    return _ac_flow(t, True)
+
+
+def _ac_flow(t, fast: bool) -> DataFrame:
     b = _branches(t)
     ends = b.select("island", F.explode(F.array("a", "b")).alias("node")).distinct()
     first = ends.groupBy("island").agg(F.min("node").alias("slack"))
     nodes = ends.join(first, "island").join(t.customer.select(F.col("c_custkey").alias("node"), "c_acctbal"), "node")
     kind = F.when(F.col("node") == F.col("slack"), 0).when(F.floor(F.col("node") / 25) % 10 == 3, 1).otherwise(2)
     nodes = nodes.select((F.col("node") % 25).alias("island"), "node", kind.alias("kind"), (-F.col("c_acctbal") / 3e6).alias("p"), (-F.col("c_acctbal") / 9e6).alias("q"), F.lit(1.02).alias("v"), F.lit(-0.05).alias("q_low"), F.lit(0.05).alias("q_high"))
-    return kernels.ac_flow(b.select("island", "a", "b", "r", "x", F.lit(0.001).alias("charging"), F.lit(1.0).alias("tap")), nodes).withColumns({c: F.round(c, 6) for c in ("v", "angle_deg", "p", "q")})
+    return kernels.ac_flow(b.select("island", "a", "b", "r", "x", F.lit(0.001).alias("charging"), F.lit(1.0).alias("tap")), nodes, fast).withColumns({c: F.round(c, 6) for c in ("v", "angle_deg", "p", "q")})
 
 
 @query()
