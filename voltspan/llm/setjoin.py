@@ -32,7 +32,7 @@ from voltspan.llm._io import materialise, partitions, release, tidy, tidy_group
 from voltspan.llm._skew import join_hot
 
 SHINGLE, PERCENT = 4, 85
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Entries of a list that a block holds on average, at most.
 BLOCK_ROWS = 64
 #: Pivots that each index list has in turn before the rest is matched.
