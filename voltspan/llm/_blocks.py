@@ -98,22 +98,36 @@ def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(a >= b, a - b, a + _P - b)
 
 
-@lru_cache(maxsize=4)
-def _prime_powers(base: int, size: int) -> np.ndarray:
-    out = np.ones(1, dtype=np.uint64)
-    while len(out) < size:
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo PRIME, for i from 0 to n at least."""
+    out = _POWERS.get(base, np.ones(1, dtype=np.uint64))
+    while len(out) <= n:
         out = np.concatenate((out, times(out, _U(pow(base, len(out), PRIME)))))
+    if len(out) <= 1 << 20:
+        _POWERS[base] = out
     return out
 
 
-def prime_powers(base: int, n: int) -> np.ndarray:
-    """base ** i modulo PRIME, for i from 0 to n."""
-    return _prime_powers(base, 1 << max(12, int(n + 1).bit_length()))
+def _scaled(values: np.ndarray, base: int) -> np.ndarray:
+    """values[j] * base ** j, for values below 2 ** 21, as code points are; sums of two are below 2 ** 63."""
+    power = prime_powers(base, len(values))[: len(values)]
+    high = values * (power >> _U(31))
+    return ((high & _LOW30) << _U(31)) + (high >> _U(30)) + values * (power & _LOW31)
+
+
+def prime_whole(values: np.ndarray, base: int) -> int:
+    """The last entry of prime_prefixes, for values below 2 ** 21."""
+    terms = _scaled(values, base)
+    return ((int((terms >> _U(32)).sum()) << 32) + int((terms & _U(0xFFFFFFFF)).sum())) % PRIME
 
 
 def prime_prefixes(values: np.ndarray, base: int) -> np.ndarray:
     """Prefix polynomial modulo PRIME: entry i is the sum of values[j] * base ** j over j < i."""
-    terms = times(values, prime_powers(base, len(values))[: len(values)])
+    small = not len(values) or values.max() < 1 << 21
+    terms = _scaled(values, base) if small else times(values, prime_powers(base, len(values))[: len(values)])
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     # Halves are summed apart, so that nothing overflows; the upper one counts 2 ** 32 times.
     high, low = np.cumsum(terms >> _U(32), dtype=np.uint64), np.cumsum(terms & _U(0xFFFFFFFF), dtype=np.uint64)

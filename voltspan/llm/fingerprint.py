@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltspan.llm._blocks import minus, mix, prime_powers, prime_prefixes, times
+from voltspan.llm._blocks import minus, mix, prime_powers, prime_prefixes, prime_whole, times
 from voltspan.llm._io import partitions
 
 SPAN, SAMPLE, STEPS = 12, 64, 32
@@ -80,7 +80,7 @@ class Fingerprint:
     def __init__(self, text: str):
         hashed = PrefixHash(text)
         self.n = hashed.n
-        self.whole = (int(hashed.sums[-1]), int(PrefixHash(text, BASES[1]).sums[-1]))
+        self.whole = (int(hashed.sums[-1]), prime_whole(codes(text).astype(np.uint64) + np.uint64(1), BASES[1]))
         # A power of two, so that of any two grids one holds the other's places.
         self.step = 1 << max(0, (self.n - 1) // STEPS).bit_length()
         at = np.arange(self.step, self.n + 1, self.step)
