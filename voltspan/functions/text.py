@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The constants of 32-bit FNV-1a, and the form of a case id.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
+CASE_ID = r"^N1:(ElmLne|ElmTr2):(.+)$"
 
 
 def number(text: Column) -> Column:
@@ -47,8 +49,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
 
 def case_id(text: Column) -> tuple[Column, Column]:
     """Class and key of a case id N1:class:key; null if it is none."""
-    pattern = r"^N1:(ElmLne|ElmTr2):(.+)$"
-    part = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract(text, CASE_ID, i), F.lit(""))
     return part(1), part(2)
 
 

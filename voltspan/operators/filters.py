@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The map's bounds, values that stand for unknown ones, and the least impedance of a branch.
+LATITUDES, LONGITUDES = (30, 46), (25, 46)
+SENTINEL, UNLIMITED = 9999, 99999
+LEAST_IMPEDANCE = 1e-6
+
+
 def has_any(values: Column | str, wanted: Iterable) -> Column:
     """Whether a multi-valued column holds one of the wanted values."""
     return F.arrays_overlap(values, F.array(*map(F.lit, wanted)))
@@ -56,7 +62,7 @@ def area_scope(area: Column, mode: str, areas: Sequence = ()) -> Column:
 
 
 def on_map(lat: Column, lon: Column) -> Column:
-    return lat.between(30, 46) & lon.between(25, 46)
+    return lat.between(*LATITUDES) & lon.between(*LONGITUDES)
 
 
 def finite(x: Column) -> Column:
@@ -65,11 +71,11 @@ def finite(x: Column) -> Column:
 
 def branch_gate(r: Column, x: Column, tap: Column) -> Column:
     """Why a branch can't be solved, or OK."""
-    return first_reason({"NOT_FINITE": ~finite(r) | ~finite(x), "ZERO_IMPEDANCE": F.sqrt(r * r + x * x) < 1e-6, "TAP": tap <= 0})
+    return first_reason({"NOT_FINITE": ~finite(r) | ~finite(x), "ZERO_IMPEDANCE": F.sqrt(r * r + x * x) < LEAST_IMPEDANCE, "TAP": tap <= 0})
 
 
 def is_sentinel(x: Column) -> Column:
-    return F.coalesce((F.abs(x) == 9999) | (F.abs(x) >= 99999), F.lit(False))
+    return F.coalesce((F.abs(x) == SENTINEL) | (F.abs(x) >= UNLIMITED), F.lit(False))
 
 
 def without_sentinel(x: Column) -> Column:

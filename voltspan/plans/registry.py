@@ -363,4 +363,4 @@ def text_normalise(t):
     return t.documents.select("doc_id", F.sha2(F.regexp_replace(F.lower(plain("text")), "[^a-z0-9_]+", ""), 256).alias("key"))
 
 
-from voltspan.plans import analytics, joins, network, ordering, predicates, reports, scalars  # noqa: E402, F401
+from voltspan.plans import analytics, joins, network, ordering, predicates, reports, scalars, studies  # noqa: E402, F401
