@@ -27,3 +27,20 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str, how: str
     a = left.join(salts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1)))).drop("_salts")
     b = right.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return a.join(b, [key, "_salt"], how).drop("_salt")
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, spread: str, count: str, total: int, how: str = "inner", parts: int | None = None) -> DataFrame:
+    """join_hot where right's count already says how many of left's total rows each key has; left is read once.
+
+    Hot keys are told from right alone, and there are at most PART times the number of tasks of them, so that their list can
+    be broadcast. right should be a table. parts: into how many parts both sides are dealt, if not by Spark's own choice.
+    """
+    spark = left.sparkSession
+    share = max(FEW, total // (PART * max(2, parts or partitions(spark))))
+    salts = F.ceil(F.col(count) / share)
+    hot = F.broadcast(right.where(F.col(count) > share).select(key, salts.alias("_salts")))
+    a = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(count) > share, salts).otherwise(1) - 1)))
+    if parts:
+        a, b = (x.repartition(parts, key, "_salt") for x in (a, b))
+    return a.join(b, [key, "_salt"], how).drop("_salt")
