@@ -64,7 +64,7 @@ def url_key(url: str) -> str:
 
 
 def _escaped(url: str) -> str:
-    return re.sub(r"[\x00-\x20\x7f\x85  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
 def member(data: bytes) -> bytes:
