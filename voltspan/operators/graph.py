@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 64
-
+from voltspan.operators import tours
+from voltspan.operators.tables import free, settle
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in the shared folder; where none is named (tests), in a temporary one of this machine."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="voltspan-settled-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/voltspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+PARTS = 64
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -39,6 +24,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         jumps = spread.select("c").distinct().join(spread.select(F.col("a").alias("c"), F.col("c").alias("cc")), "c").where("cc < c").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         jumped = settle(spread.withColumn("part", F.pmod(F.hash("a"), F.lit(PARTS))).join(jumps, ["c", "part"], "left").select("a", F.coalesce("cc", "c").alias("c")), "labels")
         moved = jumped.join(label.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count()
+        free(label, spread)
         label = jumped
         if not moved:
             return label.select(F.col("a").alias("node"), F.col("c").alias("component"))
@@ -46,40 +32,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def bridges(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """component, a, b of edges whose loss splits their component; parallel edges and loops are none.
-
-    A search by levels from the least node of each component gives a tree. Every edge beside it covers the tree's path between
-    its ends; such pairs climb level by level from the deepest, and tree edges that none covers are bridges. There are two
-    rounds a level, and no task needs a whole component.
-    """
-    edge = settle(edges.where("a <> b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("a").alias("a"), F.min("b").alias("b"), F.count("*").alias("k")), "edges")
-    both = settle(edge.select(F.col("u").alias("x"), F.col("v").alias("node")).unionByName(edge.select(F.col("v").alias("x"), F.col("u").alias("node"))), "both")
-    levels = [settle(labels.where("node = component").select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")), "level")]
-    while not levels[-1].isEmpty():
-        reached = both.join(levels[-1].select(F.col("node").alias("x")), "x").groupBy("node").agg(F.min("x").alias("parent"))
-        # Neighbours of a level lie in it, the one before or the next.
-        for past in levels[-2:]:
-            reached = reached.join(past, "node", "left_anti")
-        levels.append(settle(reached.select("node", F.col("parent").cast("long").alias("parent"), F.lit(len(levels)).alias("depth")), "level"))
-    levels = levels[:-1] or levels
-    tree = functools.reduce(DataFrame.unionByName, levels)
-    end = lambda c: tree.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}"), F.col("depth").alias(f"d{c}"))
-    beside = edge.join(end("u"), "u").join(end("v"), "v").where("k > 1 or not (coalesce(pu = v, false) or coalesce(pv = u, false))")
-    deeper = F.col("du") >= F.col("dv")
-    beside = settle(beside.select(F.when(deeper, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(deeper, F.col("v")).otherwise(F.col("u")).alias("y"), F.greatest("du", "dv").alias("depth"), (F.col("du") == F.col("dv")).alias("level")), "beside")
-    climbing, bare = None, []
-    for d in range(len(levels) - 1, 0, -1):
-        pairs = beside.where(F.col("depth") == d).select("x", "y", "level")
-        pairs = pairs if climbing is None else pairs.unionByName(climbing)
-        covered = pairs.select(F.col("x").alias("node")).unionByName(pairs.where("level").select(F.col("y").alias("node"))).distinct()
-        bare.append(settle(levels[d].join(covered, "node", "left_anti").select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v")), "bare"))
-        up = levels[d].select(F.col("node").alias("x"), F.col("parent").alias("px"))
-        moved = pairs.join(up, "x").join(up.select(F.col("x").alias("y"), F.col("px").alias("py")), "y", "left").select("px", F.coalesce("py", "y").alias("py"))
-        climbing = settle(moved.where("px <> py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y"), F.lit(True).alias("level")).distinct(), "climbing")
-    if not bare:
-        return edge.join(labels.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b").limit(0)
-    found = edge.join(functools.reduce(DataFrame.unionByName, bare), ["u", "v"]).select("a", "b")
-    return found.join(labels.select(F.col("node").alias("a"), "component"), "a").select(*[F.col(c).cast("long").alias(c) for c in ("component", "a", "b")])
+    """component, a, b of edges whose loss splits their component, as labels (node, component) names it."""
+    return tours.bridges(edges).select("a", "b").join(labels.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b")
 
 
 def within(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
@@ -118,33 +72,6 @@ def paths(edges: DataFrame, start: DataFrame, stop: Column, hops: int) -> DataFr
     return found
 
 
-def bridge_flows(edges: DataFrame, injections: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """a, b, flow of edges that are bridges: what the nodes on a's side inject; injections (node, p). Edges on a cycle are left out.
-
-    What cycles hold together is one block, and blocks and bridges are a forest: blocks with one bridge left hand their sum over
-    it, round by round. Where a component's injections don't balance, the rest shows at the last block.
-    """
-    labels = components(edges)
-    cut = settle(bridges(edges, labels).select("a", "b"), "cut")
-    inner = components(edges.join(cut, ["a", "b"], "left_anti")).select("node", F.col("component").alias("block"))
-    block = settle(labels.select("node").join(inner, "node", "left").select("node", F.coalesce("block", "node").alias("block")), "blocks")
-    held = settle(block.join(injections, "node", "left").groupBy("block").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p")), "held")
-    end = lambda c: block.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}"))
-    tree = settle(cut.join(end("a"), "a").join(end("b"), "b"), "tree")
-    found = []
-    for _ in range(rounds):
-        if tree.isEmpty():
-            break
-        ends = tree.select(F.col("block_a").alias("block"), "a", "b").unionByName(tree.select(F.col("block_b").alias("block"), "a", "b"))
-        leaves = ends.groupBy("block").agg(F.count("*").alias("_n")).where("_n = 1").select("block")
-        # Two blocks that have only each other: the lesser one hands over.
-        given = ends.join(leaves, "block").groupBy("a", "b").agg(F.min("block").alias("block"))
-        moved = tree.join(given, ["a", "b"]).join(held, "block").select("a", "b", "block", "p", (F.col("block") == F.col("block_a")).alias("from_a"), F.when(F.col("block") == F.col("block_a"), F.col("block_b")).otherwise(F.col("block_a")).alias("to"))
-        moved = settle(moved, "moved")
-        found.append(moved.select("a", "b", F.when(F.col("from_a"), F.col("p")).otherwise(-F.col("p")).alias("flow")))
-        taken = moved.groupBy(F.col("to").alias("block")).agg(F.sum("p").alias("more"))
-        held = settle(held.join(taken, "block", "left").select("block", (F.col("p") + F.coalesce("more", F.lit(0.0))).alias("p")), "held")
-        tree = settle(tree.join(moved.select("a", "b"), ["a", "b"], "left_anti"), "tree")
-    if not found:
-        return cut.withColumn("flow", F.lit(0.0))
-    return functools.reduce(DataFrame.unionByName, found)
+def bridge_flows(edges: DataFrame, injections: DataFrame) -> DataFrame:
+    """a, b, flow of edges that are bridges: what the nodes on a's side inject; injections (node, p). Edges on a cycle are left out."""
+    return tours.sides(edges, injections, ["p"]).select("a", "b", F.col("a_p").alias("flow"))

@@ -275,12 +275,6 @@ def _component_stats(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(n("n_nodes"), F.count_if(F.col("node") % 2 == 0).cast("long").alias("n_suppliers"), F.max("node").alias("largest"))
 
 
-@query()
-def bridges(t):
-    edges = _edges(t)
-    return graph.bridges(edges, graph.components(edges)).orderBy("a", "b")
-
-
 @query(f"with recursive {_EDGES}, r as (select min(a) node, 0 hops from e union select b, hops + 1 from r join d on d.a = r.node where hops < 4) select node, min(hops)::bigint hops from r group by 1")
 def bfs_bounded(t):
     return _four_hops(_edges(t))
@@ -363,4 +357,4 @@ def text_normalise(t):
     return t.documents.select("doc_id", F.sha2(F.regexp_replace(F.lower(plain("text")), "[^a-z0-9_]+", ""), 256).alias("key"))
 
 
-from voltspan.plans import analytics, joins, network, ordering, predicates, reports, scalars, studies  # noqa: E402, F401
+from voltspan.plans import analytics, joins, network, ordering, outages, predicates, reports, scalars, studies  # noqa: E402, F401
