@@ -357,4 +357,4 @@ def text_normalise(t):
     return t.documents.select("doc_id", F.sha2(F.regexp_replace(F.lower(plain("text")), "[^a-z0-9_]+", ""), 256).alias("key"))
 
 
-from voltspan.plans import analytics, joins, network, ordering, outages, overlays, predicates, reports, scalars, slots, stations, studies  # noqa: E402, F401
+from voltspan.plans import analytics, joins, network, ordering, outages, overlays, predicates, reports, scalars, slots, stations, storage, studies  # noqa: E402, F401
