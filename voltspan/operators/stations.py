@@ -46,12 +46,13 @@ def targets(held: DataFrame, bus: DataFrame, switches: DataFrame, equipment: Dat
     return first.unionByName(second).unionByName(third)
 
 
-def searches(edges: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
+def searches(edges: DataFrame, starts: DataFrame, goals: DataFrame, most: int | None = None) -> DataFrame:
     """grp, label, step, via, node: for each label the shortest way from its start to a goal of its group; step 0 is the start.
 
     edges (grp, x, y, via), starts (grp, label, node), goals (grp, node). All labels of all groups search at once, a level a
     round; a label that has met a goal stops. Of equally near goals the least is taken, and of equally short ways the one
-    whose last edges are least, told from the goal back. Rounds are as many as the longest way has edges.
+    whose last edges are least, told from the goal back. Rounds are as many as the longest way has edges; ways of more than most
+    edges don't count.
     """
     both = settle(edges.select("grp", "x", "y", "via").unionByName(edges.select("grp", F.col("y").alias("x"), F.col("x").alias("y"), "via")), "edges")
     goals = settle(goals.select("grp", "node").distinct(), "goals")
@@ -61,6 +62,8 @@ def searches(edges: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame
     while not front.isEmpty():
         fronts.append(front)
         hits.append(settle(front.join(goals, ["grp", "node"], "left_semi").groupBy("grp", "label").agg(F.min("node").alias("node")), "hits"))
+        if len(fronts) - 1 == most:
+            break
         going = front.join(hits[-1].select("grp", "label"), ["grp", "label"], "left_anti").select("grp", "label", F.col("node").alias("x"))
         step = going.join(both, ["grp", "x"]).groupBy("grp", "label", F.col("y").alias("node")).agg(F.min(F.struct("via", "x")).alias("m"))
         # A node's neighbours lie in its own level, the one before or the next.
