@@ -86,12 +86,14 @@ class _Reader(DataSourceReader):
                 out.append(_Entry(name, (), "UNSAFE_ARCHIVE", f"not an archive or damaged: {type(e).__name__}"))
             except ValueError as e:
                 out.append(_Entry(name, (), "UNSAFE_ARCHIVE", str(e)))
-        return out
+        return out or [_Entry("", ())]  # a scan has at least one partition
 
     def read(self, part: _Entry) -> Iterator[tuple]:
         if part.issue:
             yield part.path, None, None, None, part.issue, part.detail
             return
+        if not part.names:
+            return
         entry = "!".join(part.names)
         if len(part.names) > 1 and part.names[-1].lower().endswith(".zip"):
             yield part.path, entry, None, None, "UNSAFE_ARCHIVE", "archives nested too deep"
