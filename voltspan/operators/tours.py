@@ -89,15 +89,16 @@ def forest(edges: DataFrame, trace: list | None = None) -> tuple[DataFrame, Data
         both = links.select(F.col("x").alias("c"), F.col("y").alias("o"), "u", "v").unionByName(links.select(F.col("y").alias("c"), F.col("x").alias("o"), "u", "v"))
         first = both.groupBy("c").agg(F.min(F.struct(F.xxhash64("u", "v", F.lit(r)).alias("h"), "u", "v", "o")).alias("m"))
         hooks = settle(first.select("c", "m.o", "m.u", "m.v"), "hooks")
-        trees.append(settle(hooks.select("u", "v").distinct(), "tree"))
+        trees.append(hooks.select("u", "v").distinct())
         # Two components that took the same edge hook each other; the lesser one is the root.
         back = hooks.select(F.col("c").alias("o"), F.col("o").alias("_back"))
-        to = settle(hooks.join(back, "o").select("c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("root")), "roots")
+        to = hooks.join(back, "o").select("c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("root"))
         while True:
-            up = to.select(F.col("c").alias("root"), F.col("root").alias("_up"))
-            jumped = settle(to.join(up, "root").select("c", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("moved")), "roots")
-            free(to)
-            to = jumped
+            # Two jumps a table.
+            for _ in range(2):
+                up = to.select(F.col("c").alias("root"), F.col("root").alias("_up"))
+                to = to.join(up, "root").select("c", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("moved"))
+            to = settle(to, "roots")
             if to.where("moved").isEmpty():
                 break
         maps.append(to)
@@ -105,7 +106,7 @@ def forest(edges: DataFrame, trace: list | None = None) -> tuple[DataFrame, Data
         left = links.join(end("x"), "x").join(end("y"), "y").where("x_root <> y_root")
         left = left.groupBy(F.least("x_root", "y_root").alias("x"), F.greatest("x_root", "y_root").alias("y")).agg(F.min(F.struct("u", "v")).alias("m"))
         then = settle(left.select("x", "y", "m.u", "m.v"), "links")
-        free(links, hooks)
+        free(links)
         links, r = then, r + 1
         if trace is not None:
             trace.append("hook")
@@ -128,7 +129,7 @@ def tours(edges: DataFrame, trace: list | None = None) -> DataFrame:
     tree, labels = forest(edges, trace)
     with_root = tree.join(labels.select(F.col("node").alias("u"), "root"), "u")
     arc = lambda a, b: with_root.select(F.col(a).alias("tail"), F.col(b).alias("head"), "u", "v", "root")
-    arcs = settle(numbered(arc("u", "v").unionByName(arc("v", "u")), "tail", "head"), "arcs")
+    arcs = numbered(arc("u", "v").unionByName(arc("v", "u")), "tail", "head")
     # After an arc comes, around its head, the arc behind its twin; behind the last arc of a node comes its first.
     spans = arcs.groupBy("tail").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("root").alias("root"))
     spans = settle(spans, "spans")
@@ -147,7 +148,7 @@ def tours(edges: DataFrame, trace: list | None = None) -> DataFrame:
     roots = child.groupBy("root").agg((F.count("*") + 1).alias("size"))
     roots = roots.select(F.col("root").alias("node"), "root", F.lit(None).cast("long").alias("parent"), F.lit((1 << 62)).cast("long").alias("left"), "size")
     nodes = child.select("node", "root", "parent", "left", "size").unionByName(roots)
-    return settle(numbered(nodes, F.col("root"), F.col("left").desc()).select("node", "root", "parent", F.col("pos").alias("pre"), "size"), "tours")
+    return numbered(nodes, F.col("root"), F.col("left").desc()).select("node", "root", "parent", F.col("pos").alias("pre"), "size")
 
 
 def extremes(values: DataFrame, spans: DataFrame, trace: list | None = None) -> DataFrame:
@@ -243,10 +244,10 @@ def absorbed(edges: DataFrame, sums: list[str], kept: DataFrame | None = None, t
     lists. A chain runs from the end whose edge has the lesser id (at one edge: from a). One that comes back to its node becomes a
     loop, and edges of a cycle on which every node would go stay as they are.
     """
-    rows = settle(numbered(edges.select("id", "a", "b", *sums), "id"), "edges")
+    rows = numbered(edges.select("id", "a", "b", *sums), "id")
     # Arc 2p leads from a to b, 2p + 1 back; an arc's end code is that of the arc which leaves there.
     arc = lambda side, tail, head: rows.select((F.col("pos") * 2 + side).alias("id"), F.col("id").alias("edge"), F.col(tail).alias("tail"), F.col(head).alias("head"), *sums)
-    arcs = settle(arc(0, "a", "b").unionByName(arc(1, "b", "a")), "arcs")
+    arcs = arc(0, "a", "b").unionByName(arc(1, "b", "a"))
     inner = arcs.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("n = 2")
     inner = settle(inner if kept is None else inner.join(kept.select("node"), "node", "left_anti"), "inner")
     turn = lambda c, d: inner.select(F.col(c).bitwiseXOR(F.lit(1)).alias("id"), F.col(d).alias("nxt"))
