@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from voltspan.plans import registry
 
-NAMES = ("hierarchy_rollup", "critical_constraints", "two_hop_join", "kpi_abs_avg", "quantile_suite", "error_grouping_sets", "full_outer_delta", "topk_impacts", "scorecard", "interpolate_curve", "event_diff", "catalog_search_page", "metric_statistics", "cascading_match", "merged_page", "components_bipartite", "dc_flow", "lodf_screen")
+NAMES = ("hierarchy_rollup", "critical_constraints", "two_hop_join", "kpi_abs_avg", "quantile_suite", "error_grouping_sets", "full_outer_delta", "topk_impacts", "scorecard", "interpolate_curve", "event_diff", "catalog_search_page", "metric_statistics", "cascading_match", "merged_page", "components_bipartite", "slot_differences", "overlay_versions", "map_branches", "station_connections", "comparison_preflight")
 
 if __name__ == "__main__":
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

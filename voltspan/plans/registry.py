@@ -261,12 +261,16 @@ def _edges(t) -> DataFrame:
 _EDGES = "e as (select distinct l_suppkey * 2 a, l_partkey * 2 + 1 b from lineitem), d as (select a, b from e union all select b, a from e)"
 
 
-@query()
+# Labels spread along links while they fall; each node keeps the last.
+_LABELS = f"{_EDGES}, r(node, component) using key (node) as (select distinct a, a from d union select d.b, min(r.component) from r join d on d.a = r.node join recurring.r q on q.node = d.b where r.component < q.component group by d.b)"
+
+
+@query(f"with recursive {_LABELS} select node, component from r")
 def components_bipartite(t):
     return graph.components(_edges(t))
 
 
-@query()
+@query(f"with recursive {_LABELS} select component, count(*)::bigint n_nodes, count(*) filter (node % 2 = 0)::bigint n_suppliers, max(node) largest from r group by 1")
 def component_stats(t):
     return _component_stats(graph.components(_edges(t)))
 
@@ -357,4 +361,4 @@ def text_normalise(t):
     return t.documents.select("doc_id", F.sha2(F.regexp_replace(F.lower(plain("text")), "[^a-z0-9_]+", ""), 256).alias("key"))
 
 
-from voltspan.plans import analytics, energization, joins, ledger, maps, network, ordering, outages, overlays, predicates, reports, scalars, slots, stations, storage, studies  # noqa: E402, F401
+from voltspan.plans import analytics, energization, joins, ledger, maps, network, ordering, outages, overlays, predicates, reports, rowlevel, scalars, slots, stations, storage, studies  # noqa: E402, F401
