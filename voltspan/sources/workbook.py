@@ -99,7 +99,8 @@ def cells(data: bytes, only: str = "") -> Iterator[tuple]:
 
 
 def read_workbooks(spark: SparkSession, path: str, only: str = "") -> DataFrame:
-    """Cells of workbooks; a part of a workbook goes on as soon as it is read."""
+    """Cells of workbooks; a part of a workbook goes on as soon as it is read. One that breaks a bound or is damaged ends with a row
+    of kind error and the reason as its text, and the others go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
@@ -107,7 +108,15 @@ def read_workbooks(spark: SparkSession, path: str, only: str = "") -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 rows: list[tuple] = []
-                for cell in cells(data, only):
+                found = cells(data, only)
+                while True:
+                    try:
+                        cell = next(found, None)
+                    except (ValueError, KeyError, SyntaxError, EOFError, zipfile.BadZipFile) as e:
+                        rows.append((name, None, None, None, None, f"{type(e).__name__}: {e}", "error", None))
+                        break
+                    if cell is None:
+                        break
                     rows.append((name, *cell))
                     if len(rows) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
