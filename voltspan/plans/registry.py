@@ -361,4 +361,4 @@ def text_normalise(t):
     return t.documents.select("doc_id", F.sha2(F.regexp_replace(F.lower(plain("text")), "[^a-z0-9_]+", ""), 256).alias("key"))
 
 
-from voltspan.plans import analytics, energization, joins, ledger, maps, network, ordering, outages, overlays, predicates, reports, rowlevel, scalars, slots, stations, storage, studies  # noqa: E402, F401
+from voltspan.plans import analytics, energization, joins, ledger, maps, network, ordering, outages, overlays, predicates, presets, reports, rowlevel, scalars, slots, stations, storage, studies  # noqa: E402, F401
