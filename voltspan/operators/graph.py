@@ -6,29 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltspan.operators import tours
-from voltspan.operators.tables import free, settle
+from voltspan.operators.tables import settle
 
 PARTS = 64
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (the least node reachable), by least-label spreading with pointer jumping."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = settle(both, "edges")
-    label = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")), "labels")
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        spread = label.join(near, "a").select("a", F.least("c", "m").alias("c"))
-        spread = settle(spread, "labels")
-        # Most nodes of a large component share one label, so jumps are dealt by label and part of the node.
-        jumps = spread.select("c").distinct().join(spread.select(F.col("a").alias("c"), F.col("c").alias("cc")), "c").where("cc < c").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        jumped = settle(spread.withColumn("part", F.pmod(F.hash("a"), F.lit(PARTS))).join(jumps, ["c", "part"], "left").select("a", F.coalesce("cc", "c").alias("c")), "labels")
-        moved = jumped.join(label.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count()
-        free(label, spread)
-        label = jumped
-        if not moved:
-            return label.select(F.col("a").alias("node"), F.col("c").alias("component"))
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame, trace: list | None = None) -> DataFrame:
+    """node, component (the least node reachable), from the roots of a spanning forest: rounds grow with the logarithm of the
+    network, however its nodes are numbered. A node with nothing but a loop is a component of its own."""
+    rows = settle(edges.select("a", "b"), "edges")
+    _, roots = tours.forest(rows.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), trace)
+    # Nearly all nodes may have one root; it's joined back by root and a part of the node.
+    part = F.pmod(F.hash("node"), F.lit(PARTS))
+    named = roots.groupBy("root", part.alias("part")).agg(F.min("node").alias("component"))
+    least = named.groupBy("root").agg(F.min("component").alias("component"))
+    least = named.select("root", "part").join(least, "root")
+    labels = roots.withColumn("part", part).join(least, ["root", "part"]).select("node", "component")
+    loops = rows.where("a = b").select(F.col("a").alias("node")).distinct()
+    alone = loops.join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return settle(labels.unionByName(alone), "labels")
 
 
 def bridges(edges: DataFrame, labels: DataFrame) -> DataFrame:
