@@ -103,8 +103,13 @@ def branch_layer(branches: DataFrame, sites: DataFrame, level: int = LEVEL) -> D
     end = lambda c: sites.select(F.col("site").alias(c), F.when(located(F.col("lat"), F.col("lon")), F.struct(column(F.col("lon"), level).alias("x"), row(F.col("lat"), level).alias("y"))).alias(f"_{c}"))
     placed = branches.join(end("a"), "a", "left").join(end("b"), "b", "left")
     whole = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    cells = placed.select(*branches.columns, F.posexplode_outer(F.when(whole, crossed(F.col("_a.x"), F.col("_a.y"), F.col("_b.x"), F.col("_b.y")))).alias("part", "c"))
-    return cells.select(F.when(F.col("c").isNotNull(), key(F.col("c.x"), F.col("c.y"), level)).alias("cell"), "part", *branches.columns)
+    # Places on the way are told after they have become rows, in compiled code; a lambda over arrays is interpreted.
+    ends = placed.select(*branches.columns, *[F.when(whole, F.col(f"_{c}.{d}")).alias(f"_{c}{d}") for c in "ab" for d in "xy"])
+    n = F.greatest(F.abs(F.col("_bx") - F.col("_ax")), F.abs(F.col("_by") - F.col("_ay")))
+    steps = ends.select("*", n.alias("_n"), F.explode_outer(F.sequence(F.lit(0).cast("long"), n)).alias("_i"))
+    at = lambda d: F.when(F.col("_n") == 0, F.col(f"_a{d}")).otherwise(F.col(f"_a{d}") + F.floor((2 * F.col("_i") * (F.col(f"_b{d}") - F.col(f"_a{d}")) + F.col("_n")) / (2 * F.col("_n"))))
+    cells = steps.select(at("x").alias("_x"), at("y").alias("_y"), F.col("_i").cast("int").alias("part"), *branches.columns)
+    return cells.select(F.when(F.col("part").isNotNull(), key(F.col("_x"), F.col("_y"), level)).alias("cell"), "part", *branches.columns)
 
 
 def passed(sites: DataFrame, branches: DataFrame, level: int = LEVEL) -> DataFrame:
