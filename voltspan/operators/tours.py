@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from voltspan.operators.tables import free, settle
 
 FAN = 256
+#: Edges of a chain whose sums are added up one after the other.
+RUN = 4096
 _LOW = (1 << 33) - 1
 
 
@@ -240,8 +242,8 @@ def absorbed(edges: DataFrame, sums: list[str], kept: DataFrame | None = None, t
     """first, last, a, b, n and the sums of what becomes one edge when nodes between just two edges are absorbed.
 
     edges (id, a, b and what sums names), ids once each; kept (node): nodes that stay though they lie between two edges. All
-    chains shrink at once: an arc that arrives at such a node goes on with the other edge there, and pointer doubling adds up the
-    lists. A chain runs from the end whose edge has the lesser id (at one edge: from a). One that comes back to its node becomes a
+    chains shrink at once: an arc that arrives at such a node goes on with the other edge there, and pointer doubling ranks the
+    lists. Sums are added from the chain's first edge to its last, as a walk would, RUN edges at a time. A chain runs from the end whose edge has the lesser id (at one edge: from a). One that comes back to its node becomes a
     loop, and edges of a cycle on which every node would go stay as they are.
     """
     rows = numbered(edges.select("id", "a", "b", *sums), "id")
@@ -252,9 +254,16 @@ def absorbed(edges: DataFrame, sums: list[str], kept: DataFrame | None = None, t
     inner = settle(inner if kept is None else inner.join(kept.select("node"), "node", "left_anti"), "inner")
     turn = lambda c, d: inner.select(F.col(c).bitwiseXOR(F.lit(1)).alias("id"), F.col(d).alias("nxt"))
     turns = settle(turn("x", "y").unionByName(turn("y", "x")), "turns")
-    done = settle(ranked(arcs.join(turns, "id", "left"), {s: F.col(s) for s in sums}, trace), "lists")
+    done = settle(ranked(arcs.select("id").join(turns, "id", "left"), trace=trace), "lists")
     starts = done.join(turns.select(F.col("nxt").alias("id")), "id", "left_anti").where(F.col("id") < F.col("last").bitwiseXOR(F.lit(1)))
     heads = arcs.select(F.col("id").alias("last"), F.col("edge").alias("last_edge"), "head")
-    chains = starts.join(arcs.select("id", "edge", "tail"), "id").join(heads, "last").select(F.col("edge").alias("first"), F.col("last_edge").alias("last"), F.col("tail").alias("a"), F.col("head").alias("b"), "n", *sums)
+    starts = settle(starts, "starts")
+    listed = done.join(starts.select("last"), "last", "left_semi").join(arcs.select("id", *sums), "id")
+    zero = {s: F.lit(0).cast(edges.schema[s].dataType) for s in sums}
+    add = lambda s: lambda x, y: x + y[s]
+    walk = lambda place: [F.aggregate(F.array_sort(F.collect_list(F.struct(place, *sums))), zero[s], add(s)).alias(s) for s in sums]
+    runs = listed.groupBy("last", F.floor((F.col("n") - 1) / RUN).alias("run")).agg(*walk((-F.col("n")).alias("place")))
+    added = runs.groupBy("last").agg(*walk((-F.col("run")).alias("place")))
+    chains = starts.join(arcs.select("id", "edge", "tail"), "id").join(heads, "last").join(added, "last").select(F.col("edge").alias("first"), F.col("last_edge").alias("last"), F.col("tail").alias("a"), F.col("head").alias("b"), "n", *sums)
     cycles = arcs.where("id % 2 = 0").join(done.select("id"), "id", "left_anti")
     return chains.unionByName(cycles.select(F.col("edge").alias("first"), F.col("edge").alias("last"), F.col("tail").alias("a"), F.col("head").alias("b"), F.lit(1).cast("long").alias("n"), *sums))

@@ -77,4 +77,5 @@ union all select w.id0, w.side0, w.a, t.id, t.side, t.far, w.n + 1, w.x + t.x fr
 select id0 "first", id "last", a, tip b, n::bigint n, round(x, 6) x from w where tip not in (from i) and id0 * 2 + side0 < id * 2 + 1 - side
 union all select id, id, a, b, 1, round(x, 6) from e where id not in (select id from w)""")
 def series_absorption(t):
-    return tours.absorbed(network(t), ["x"]).withColumn("x", F.round("x", 6))
+    # Rounded as in SQL, by the product; by the decimal digits, halves would go another way.
+    return tours.absorbed(network(t), ["x"]).withColumn("x", F.round(F.col("x") * 1e6) / 1e6)
