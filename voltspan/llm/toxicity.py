@@ -8,6 +8,10 @@ the text: of all paths that end in the same letters the best is kept, and no oth
 they are; one with doubled letters is decoded where it is unknown as written and known without them. A logistic regression on hashed words and word beginnings of the restored text,
 trained by follow-the-regularised-leader, gives the score.
 
+All labelled rows are learnt from: words are counted over all of them, and the regression is trained in parts of about
+PART_LABELS rows at once. After each round a weight's state is the mean of the parts' states, each counted by the squared gradients
+that it has added, and the next round begins there; a single part learns as one run over its rows.
+
 Nulls: a null text is empty; an empty text has the score of the bias alone; a null label is not learnt from. Several
 labels of one doc_id are several rows to learn from. Repeated rows get a row each. Without any label, scores are 0.
 Further columns are not looked at.
@@ -15,7 +19,6 @@ Further columns are not looked at.
 
 from __future__ import annotations
 
-import pickle
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,11 +30,11 @@ from pyspark.sql import functions as F
 
 from voltspan.llm._blocks import LOWER, SYMBOL_LOWER, Block, as_bytes, blocks, keyed_hashes, mix
 from voltspan.llm._ftrl import Ftrl
-from voltspan.llm._io import tidy
+from voltspan.llm._io import materialise, release, tidy
 from voltspan.llm.langid import held_out
 
-#: Most labelled rows that are learnt from, and rounds over them.
-MOST_LABELS, EPOCHS = 12000, 2
+#: About as many labelled rows are a part, which one task learns from; rounds over all of them.
+PART_LABELS, EPOCHS = 12000, 2
 THRESHOLD = 0.3
 BITS = 20
 HEADS = (4, 5)
@@ -280,49 +283,88 @@ def make_decoder(model: CharModel):
     return decoder
 
 
-def learn(ids: list, texts: list[bytes], labels: list[int]) -> dict:
-    """Character model, weights and bias from labelled texts."""
-    words: Counter = Counter()
-    for t in texts:
-        words.update(w for w in (x.strip(".,;:!?\"'()").lower() for x in t.decode("utf-8", "replace").split()) if w.isalpha())
-    model = CharModel(words)
-    decoder = make_decoder(model)
-    rows: list[np.ndarray] = []
-    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.binary())], names=["doc_id", "text"])
-    for block in blocks(iter([batch])):
-        rows.extend(doc_features(block, decoder, model))
-    ftrl = Ftrl((1 << BITS) + 1, 1, alpha=0.3, l1=1.0, l2=0.1)
-    rng = np.random.Generator(np.random.PCG64(3))
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
-            index = np.append(rows[i], 1 << BITS)
-            w = ftrl.weights(index)[:, 0]
+def _words(rows: DataFrame) -> Counter:
+    """Words in plain letters of all texts, and how often each occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        for b in batches:
+            for t in as_bytes(b.column("text")):
+                words.update(w for w in (x.strip(".,;:!?\"'()").lower() for x in t.decode("utf-8", "replace").split()) if w.isalpha())
+                if len(words) > KNOWN:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+                    words.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+    found = rows.select("text").mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    return Counter(dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True)))
+
+
+def _regression() -> Ftrl:
+    return Ftrl((1 << BITS) + 1, 1, alpha=0.3, l1=1.0, l2=0.1)
+
+
+def _round(rows: DataFrame, ftrl: Ftrl, epoch: int) -> Ftrl:
+    """The state after one more round over rows (part, doc_id, toxic, features)."""
+    begin = rows.sparkSession.sparkContext.broadcast((ftrl.z, ftrl.n))
+
+    def fit(part: pa.Table) -> pa.Table:
+        found = sorted(zip(*(part.column(c).to_pylist() for c in ("doc_id", "features", "toxic")), strict=True))
+        now = _regression()
+        now.z, now.n = (x.copy() for x in begin.value)
+        rng = np.random.Generator(np.random.PCG64(3))
+        for _ in range(epoch + 1):
+            order = rng.permutation(len(found))
+        for i in order:
+            index = np.append(np.array(found[i][1], dtype=np.int64), 1 << BITS)
+            w = now.weights(index)[:, 0]
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30)))
-            g = p - labels[i]
-            n = ftrl.n[index, 0]
+            g = p - found[i][2]
+            n = now.n[index, 0]
             more = n + g * g
-            ftrl.z[index, 0] += g - (np.sqrt(more) - np.sqrt(n)) / ftrl.alpha * w
-            ftrl.n[index, 0] = more
-    w = ftrl.weights()[:, 0]
-    index = np.flatnonzero(w[:-1])
-    return {"chars": model, "index": index.astype(np.int32), "w": w[index].astype(np.float32), "bias": float(w[-1])}
+            now.z[index, 0] += g - (np.sqrt(more) - np.sqrt(n)) / now.alpha * w
+            now.n[index, 0] = more
+        gain = (now.n - begin.value[1])[:, 0]
+        at = np.flatnonzero(gain)
+        return pa.table({"part": pa.array(np.full(len(at), part.column("part")[0].as_py(), dtype=np.int32)), "index": at, "z": now.z[at, 0], "n": now.n[at, 0], "gain": gain[at]})
+
+    parts = rows.groupBy("part").applyInArrow(fit, "part int, index long, z double, n double, gain double")
+    # Added up in the order of the parts, so that reruns agree.
+    each = parts.groupBy("index").agg(F.array_sort(F.collect_list(F.struct("part", "z", "n", "gain"))).alias("x"))
+    mean = lambda c: F.when(F.size("x") == 1, F.col("x")[0][c]).otherwise(F.aggregate("x", F.lit(0.0), lambda s, x: s + x[c] * x["gain"]) / F.aggregate("x", F.lit(0.0), lambda s, x: s + x["gain"])).alias(c)
+    got = each.select("index", mean("z"), mean("n")).toArrow()
+    out = _regression()
+    out.z, out.n = ftrl.z.copy(), ftrl.n.copy()
+    at = got.column("index").to_numpy()
+    out.z[at, 0], out.n[at, 0] = got.column("z").to_numpy(), got.column("n").to_numpy()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """Character model, weights and bias from all labelled texts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(labels)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    n = known.count()
-    # At most about MOST_LABELS labels, so their size is bounded.
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) < MOST_LABELS / max(n, 1) * (1 << 20))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null")
+    rows = materialise(docs.select("doc_id", "text").join(known, "doc_id").where("text is not null").select("doc_id", "text", "toxic"), "labelled")
+    parts = -(-rows.count() // PART_LABELS)
+    if not parts:
+        return None
+    chars = CharModel(_words(rows))
+    shared = docs.sparkSession.sparkContext.broadcast(chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [x for b in batches for x in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("toxic").to_pylist(), strict=True)]
-        found.sort()
-        model = learn([x[0] for x in found], [x[1] for x in found], [x[2] for x in found]) if found else None
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    out = rows.repartition(1).mapInArrow(tidy(run), "model binary").collect()
-    return pickle.loads(out[0]["model"]) if out else None
+        decoder = make_decoder(shared.value)
+        for block in blocks(batches):
+            found = pa.array(list(doc_features(block, decoder, shared.value)), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), block.rows.column("toxic"), found], names=["doc_id", "toxic", "features"])
+
+    features = rows.withColumn("doc_id", F.col("doc_id").cast("long")).repartition("doc_id").mapInArrow(tidy(run), "doc_id long, toxic int, features array<int>")
+    features = materialise(features.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(parts)).cast("int")), "features")
+    ftrl = _regression()
+    for epoch in range(EPOCHS):
+        ftrl = _round(features, ftrl, epoch)
+    release(rows, features)
+    w = ftrl.weights()[:, 0]
+    index = np.flatnonzero(w[:-1])
+    return {"chars": chars, "index": index.astype(np.int32), "w": w[index].astype(np.float32), "bias": float(w[-1])}
 
 
 class Scorer:
