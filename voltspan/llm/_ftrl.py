@@ -14,7 +14,9 @@ class Ftrl:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, index: np.ndarray | slice = slice(None)) -> np.ndarray:
-        z, n = self.z[index], self.n[index]
+        return self.weigh(self.z[index], self.n[index])
+
+    def weigh(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return -np.sign(z) * np.maximum(np.abs(z) - self.l1, 0) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
 
     def learn(self, index: np.ndarray, value: np.ndarray, label: int) -> None:

@@ -8,8 +8,10 @@ the text: of all paths that end in the same letters the best is kept, and no oth
 they are; one with doubled letters is decoded where it is unknown as written and known without them. A logistic regression on hashed words and word beginnings of the restored text,
 trained by follow-the-regularised-leader, gives the score.
 
-All labelled rows are learnt from: words are counted over all of them, and the regression is trained in parts of about
-PART_LABELS rows at once. After each round a weight's state is the mean of the parts' states, each counted by the squared gradients
+All labelled rows are learnt from: letters are counted over all words of theirs in the tasks, and the driver gets one row a
+sequence of ORDER letters; the words themselves are known by a filter of fixed size (three bits of one of 2 ** SLOTS numbers a
+word), so that a word that never occurred may be taken for known, by a chance of about one in a million at a million words.
+The regression is trained in parts of about PART_LABELS rows at once. After each round a weight's state is the mean of the parts' states, each counted by the squared gradients
 that it has added, and the next round begins there; a single part learns as one run over its rows.
 
 Nulls: a null text is empty; an empty text has the score of the bias alone; a null label is not learnt from. Several
@@ -20,17 +22,19 @@ Further columns are not looked at.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltspan.llm._blocks import LOWER, SYMBOL_LOWER, Block, as_bytes, blocks, keyed_hashes, mix
 from voltspan.llm._ftrl import Ftrl
-from voltspan.llm._io import materialise, release, tidy
+from voltspan.llm._io import free_shuffles, materialise, release, tidy, tidy_group
 from voltspan.llm.langid import held_out
 
 #: About as many labelled rows are a part, which one task learns from; rounds over all of them.
@@ -40,6 +44,10 @@ BITS = 20
 HEADS = (4, 5)
 #: Letters' and words' results that a task remembers; they only spare work.
 KNOWN = 30_000
+#: Different words that a task counts before it passes their letters on.
+MOST_WORDS = 100_000
+#: The filter of known words has 2 ** SLOTS numbers of 64 bits.
+SLOTS = 22
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "#": "h", "*": "aeiou", "(": "c", "€": "e", "¡": "i"}
 #: Signs inside a word that may stand for nothing.
@@ -60,17 +68,27 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 class CharModel:
-    """Character n-grams of up to ORDER with Witten-Bell backoff, over the words of a sample."""
+    """Character n-grams of up to ORDER with Witten-Bell backoff, and a filter that knows the words they come from."""
 
     def __init__(self, words: Counter):
+        found = list(words)
+        slots, bits = _marks(_word_hashes(found))
+        self._fill(zip(*_grams(found, list(words.values())), strict=True), slots, bits)
+
+    @classmethod
+    def of(cls, grams: Iterable[tuple[str, int]], slots: np.ndarray, bits: np.ndarray) -> CharModel:
+        """From counts of n-grams and the filter's numbers."""
+        model = cls.__new__(cls)
+        model._fill(grams, slots, bits)
+        return model
+
+    def _fill(self, grams: Iterable[tuple[str, int]], slots: np.ndarray, bits: np.ndarray) -> None:
         self.counts: dict[str, Counter] = {}
-        for word, n in words.items():
-            padded = "^" + word + "$"
-            for i in range(1, len(padded)):
-                for k in range(min(ORDER, i + 1)):
-                    self.counts.setdefault(padded[i - k : i], Counter())[padded[i]] += n
+        for gram, n in grams:
+            self.counts.setdefault(gram[:-1], Counter())[gram[-1]] += n
         self.total = {c: (sum(x.values()), len(x)) for c, x in self.counts.items()}
-        self.words = np.sort(_word_hashes(list(words)))
+        self.words = np.zeros(1 << SLOTS, dtype=np.uint64)
+        np.bitwise_or.at(self.words, slots, bits)
         self.known: dict[tuple[str, str], float] = {}
 
     def log(self, context: str, char: str) -> float:
@@ -95,10 +113,39 @@ class CharModel:
         return self.__dict__ | {"known": {}}
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        """Whether words are among those that the model was made from."""
-        if not len(self.words):
-            return np.zeros(len(hashes), dtype=bool)
-        return self.words[np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)] == hashes
+        """Whether words are among those that the model was made from; the filter's chance of a wrong yes is small."""
+        slots, bits = _marks(hashes)
+        return self.words[slots] & bits == bits
+
+
+def _marks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's number in the filter, and its bits there."""
+    found = mix(hashes)
+    bits = np.zeros(len(found), dtype=np.uint64)
+    for shift in (0, 6, 12):
+        bits |= np.uint64(1) << (found >> np.uint64(shift) & np.uint64(63))
+    return (found >> np.uint64(64 - SLOTS)).astype(np.int64), bits
+
+
+def _grams(words: list[str], counts: list[int]) -> tuple[list[str], list[int]]:
+    """The n-grams of up to ORDER characters of ^word$, but ^ alone, and how often each occurs."""
+    whole = "".join("^" + w + "$" for w in words)
+    code = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    inside = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    weight = np.repeat(np.array(counts, dtype=np.float64), size)
+    out, n = [], []
+    before = np.zeros(len(code), dtype=np.int64)
+    for k in range(ORDER):
+        # An n-gram is the number of the one that ends before its last character, and that character.
+        at = np.flatnonzero(inside >= k)
+        key, first, number = np.unique((before[at - 1] << 21 if k else 0) | code[at], return_index=True, return_inverse=True)
+        found = np.bincount(number, weight[at] * (inside[at] > 0), len(key))
+        before[at] = number
+        some = np.flatnonzero(found)
+        out.extend(whole[i - k : i + 1] for i in at[first[some]].tolist())
+        n.extend(found[some].astype(np.int64).tolist())
+    return out, n
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -283,21 +330,44 @@ def make_decoder(model: CharModel):
     return decoder
 
 
-def _words(rows: DataFrame) -> Counter:
-    """Words in plain letters of all texts, and how often each occurs."""
+def _chars(rows: DataFrame) -> CharModel:
+    """The character model of the words in plain letters of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        written: Counter = Counter()
+        known = np.zeros(1 << SLOTS, dtype=np.uint64)
+
+        def grams() -> pa.RecordBatch:
+            words: Counter = Counter()
+            for w, n in written.items():
+                w = w.strip(".,;:!?\"'()").lower()
+                if w.isalpha():
+                    words[w] += n
+            written.clear()
+            found = list(words)
+            np.bitwise_or.at(known, *_marks(_word_hashes(found)))
+            return _counted(*_grams(found, list(words.values())), [], [])
+
         for b in batches:
             for t in as_bytes(b.column("text")):
-                words.update(w for w in (x.strip(".,;:!?\"'()").lower() for x in t.decode("utf-8", "replace").split()) if w.isalpha())
-                if len(words) > KNOWN:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-                    words.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+                written.update(t.decode("utf-8", "replace").split())
+                if len(written) > MOST_WORDS:
+                    yield grams()
+        yield grams()
+        slots = np.flatnonzero(known)
+        for at in np.split(slots, range(MOST_WORDS, len(slots), MOST_WORDS)):
+            yield _counted([], [], at, known[at].view(np.int64))
+
+    each = rows.select("text").mapInArrow(tidy(count), "gram string, n long, slot int, bits long")
+    found = each.groupBy("gram", "slot").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")).toArrow()
+    grams, words = found.filter(pc.is_valid(found.column("gram"))), found.filter(pc.is_valid(found.column("slot")))
+    return CharModel.of(zip(grams.column("gram").to_pylist(), grams.column("n").to_pylist(), strict=True), words.column("slot").to_numpy(), words.column("bits").to_numpy().view(np.uint64))
+
 
-    found = rows.select("text").mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    return Counter(dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True)))
+def _counted(grams: list[str], n: list[int], slots: np.ndarray | list, bits: np.ndarray | list) -> pa.RecordBatch:
+    """Rows of n-grams, then rows of the filter."""
+    none = [None] * len(slots)
+    return pa.RecordBatch.from_arrays([pa.array([*grams, *none], pa.string()), pa.array([*n, *none], pa.int64()), pa.array([*[None] * len(n), *slots], pa.int32()), pa.array([*[None] * len(n), *bits], pa.int64())], names=["gram", "n", "slot", "bits"])
 
 
 def _regression() -> Ftrl:
@@ -309,26 +379,31 @@ def _round(rows: DataFrame, ftrl: Ftrl, epoch: int) -> Ftrl:
     begin = rows.sparkSession.sparkContext.broadcast((ftrl.z, ftrl.n))
 
     def fit(part: pa.Table) -> pa.Table:
-        found = sorted(zip(*(part.column(c).to_pylist() for c in ("doc_id", "features", "toxic")), strict=True))
+        ids, toxic = (part.column(c).to_numpy() for c in ("doc_id", "toxic"))
+        lists = part.column("features").combine_chunks()
+        start, value = lists.offsets.to_numpy(), lists.values.to_numpy()
+        # Rows of one doc_id are put in order by what they hold.
+        held = np.fromiter((crc32(value[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)), dtype=np.int64, count=len(ids))
+        found = np.lexsort((toxic, held, ids))
         now = _regression()
-        now.z, now.n = (x.copy() for x in begin.value)
+        z, n = (x[:, 0].copy() for x in begin.value)
         rng = np.random.Generator(np.random.PCG64(3))
         for _ in range(epoch + 1):
             order = rng.permutation(len(found))
-        for i in order:
-            index = np.append(np.array(found[i][1], dtype=np.int64), 1 << BITS)
-            w = now.weights(index)[:, 0]
+        for i in found[order]:
+            index = np.append(value[start[i] : start[i + 1]], 1 << BITS)
+            z_i, n_i = z[index], n[index]
+            w = now.weigh(z_i, n_i)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30)))
-            g = p - found[i][2]
-            n = now.n[index, 0]
-            more = n + g * g
-            now.z[index, 0] += g - (np.sqrt(more) - np.sqrt(n)) / now.alpha * w
-            now.n[index, 0] = more
-        gain = (now.n - begin.value[1])[:, 0]
+            g = p - toxic[i]
+            more = n_i + g * g
+            z[index] = z_i + (g - (np.sqrt(more) - np.sqrt(n_i)) / now.alpha * w)
+            n[index] = more
+        gain = n - begin.value[1][:, 0]
         at = np.flatnonzero(gain)
-        return pa.table({"part": pa.array(np.full(len(at), part.column("part")[0].as_py(), dtype=np.int32)), "index": at, "z": now.z[at, 0], "n": now.n[at, 0], "gain": gain[at]})
+        return pa.table({"part": pa.array(np.full(len(at), part.column("part")[0].as_py(), dtype=np.int32)), "index": at, "z": z[at], "n": n[at], "gain": gain[at]})
 
-    parts = rows.groupBy("part").applyInArrow(fit, "part int, index long, z double, n double, gain double")
+    parts = rows.groupBy("part").applyInArrow(tidy_group(fit), "part int, index long, z double, n double, gain double")
     # Added up in the order of the parts, so that reruns agree.
     each = parts.groupBy("index").agg(F.array_sort(F.collect_list(F.struct("part", "z", "n", "gain"))).alias("x"))
     mean = lambda c: F.when(F.size("x") == 1, F.col("x")[0][c]).otherwise(F.aggregate("x", F.lit(0.0), lambda s, x: s + x[c] * x["gain"]) / F.aggregate("x", F.lit(0.0), lambda s, x: s + x["gain"])).alias(c)
@@ -337,17 +412,20 @@ def _round(rows: DataFrame, ftrl: Ftrl, epoch: int) -> Ftrl:
     out.z, out.n = ftrl.z.copy(), ftrl.n.copy()
     at = got.column("index").to_numpy()
     out.z[at, 0], out.n[at, 0] = got.column("z").to_numpy(), got.column("n").to_numpy()
+    begin.destroy()
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """Character model, weights and bias from all labelled texts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(labels)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = materialise(docs.select("doc_id", "text").join(known, "doc_id").where("text is not null").select("doc_id", "text", "toxic"), "labelled")
+    # Tables of labels grow with the documents: they aren't broadcast, nor are texts sorted to find them.
+    rows = materialise(docs.select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id").where("text is not null").select("doc_id", "text", "toxic"), "labelled", free=True)
     parts = -(-rows.count() // PART_LABELS)
     if not parts:
+        release(rows)
         return None
-    chars = CharModel(_words(rows))
+    chars = _chars(rows)
     shared = docs.sparkSession.sparkContext.broadcast(chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,12 +434,15 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
             found = pa.array(list(doc_features(block, decoder, shared.value)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([block.rows.column("doc_id"), block.rows.column("toxic"), found], names=["doc_id", "toxic", "features"])
 
-    features = rows.withColumn("doc_id", F.col("doc_id").cast("long")).repartition("doc_id").mapInArrow(tidy(run), "doc_id long, toxic int, features array<int>")
-    features = materialise(features.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(parts)).cast("int")), "features")
+    features = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(run), "doc_id long, toxic int, features array<int>")
+    features = materialise(features.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(parts)).cast("int")), "features", free=True)
+    release(rows)
+    shared.destroy()
     ftrl = _regression()
     for epoch in range(EPOCHS):
         ftrl = _round(features, ftrl, epoch)
-    release(rows, features)
+        free_shuffles(docs.sparkSession)
+    release(features)
     w = ftrl.weights()[:, 0]
     index = np.flatnonzero(w[:-1])
     return {"chars": chars, "index": index.astype(np.int32), "w": w[index].astype(np.float32), "bias": float(w[-1])}
