@@ -8,23 +8,20 @@ from pyspark.sql import functions as F
 from voltspan.operators.stations import searches
 from voltspan.operators.tables import settle
 
-#: A way holds at most so many couplers (fixed value).
-MOST = 14
 
-
-def steps(lines: DataFrame, terminals: DataFrame, couplers: DataFrame) -> DataFrame:
+def steps(lines: DataFrame, terminals: DataFrame, couplers: DataFrame, most: int | None = None) -> DataFrame:
     """line, side, start, step, coupler, terminal, closes, restores: the ways of plans, a row a terminal.
 
     lines (id, a, b), terminals (id, in_service), couplers (id, a, b, closed, in_service). A search begins once at each terminal that
     is any line's end, not once a line. The nearest terminal in service is met, of several the least; of equally short ways the
-    one whose couplers are least, told from there back."""
+    one whose couplers are least, told from there back. A way may be of any length, or of at most so many couplers."""
     ends = lines.select(F.col("id").alias("line"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("start")), F.struct(F.lit("b").alias("side"), F.col("b").alias("start")))).alias("e")).select("line", "e.side", "e.start").where("start is not null")
     one = F.lit(0).alias("grp")
     ways = searches(
         couplers.where("in_service").select(one, F.col("a").alias("x"), F.col("b").alias("y"), F.col("id").cast("string").alias("via")),
         ends.select(one, F.col("start").alias("label"), F.col("start").alias("node")).distinct(),
         terminals.where("in_service").select(one, F.col("id").alias("node")),
-        MOST,
+        most,
     )
     state = ways.join(terminals.select(F.col("id").alias("node"), "in_service"), "node", "left").join(couplers.select(F.col("id").cast("string").alias("via"), "closed"), "via", "left")
     state = settle(state.select(F.col("label").alias("start"), "step", F.col("via").alias("coupler"), F.col("node").alias("terminal"), (F.col("via").isNotNull() & ~F.coalesce("closed", F.lit(False))).alias("closes"), (~F.coalesce("in_service", F.lit(False))).alias("restores")), "steps")

@@ -24,6 +24,12 @@ way as (select start, h step, node from hit union all select way.start, step - 1
 s as materialized (select line, side, e.start, step::bigint step, case when step > 0 then m[1] end coupler, way.node terminal, coalesce(step > 0 and not k.closed, false) closes, not c.in_service restores from e join way using (start) left join pred on pred.start = way.start and pred.node = way.node and step > 0 left join k on k.id::varchar = m[1] join c on c.id = way.node),
 w as (select o_orderkey id, o_orderkey line, o_orderpriority <> '4-NOT SPECIFIED' closed, o_orderpriority <> '5-LOW' in_service from orders)"""
 
+# The same without a bound: from a terminal in service no way goes on, and none comes to a terminal twice.
+_ALL_WAYS = _WAYS.replace(
+    "select distinct start, start node, 0 h from e union select start, y, h + 1 from r join d on x = node where h < 14",
+    "select distinct start, start node, 0 h, [start] seen from e union all select start, y, h + 1, list_append(seen, y) from r join d on x = node where not list_contains(seen, y) and node not in (select id from c where in_service)",
+)
+
 
 def _tables(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     k = F.col("c_custkey")
@@ -40,10 +46,10 @@ def _tables(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 @query(f"with recursive {_WAYS} select * from s")
 def energization_steps(t):
     lines, terminals, couplers, _ = _tables(t)
-    return energization.steps(lines, terminals, couplers)
+    return energization.steps(lines, terminals, couplers, 14)
 
 
-@query(f"""with recursive {_WAYS},
+@query(f"""with recursive {_ALL_WAYS},
 i as (select line, 'closes' kind, coupler item from s where closes union select line, 'restores', terminal::varchar from s where restores union select line, 'ways', side from s
 union select line, 'closes', 'S' || id from w where in_service and not closed union select line, 'blockers', 'OUT_OF_SERVICE:' || id from w where not in_service
 union select id, 'blockers', 'NO_PATH:' || side from line, (values ('a'), ('b')) v(side) where not exists (select 1 from s where s.line = line.id and s.side = v.side)),
