@@ -46,7 +46,8 @@ def targets(held: DataFrame, bus: DataFrame, equipment: DataFrame) -> DataFrame:
     own = held.where("own").select("feeder", "terminal")
     attached = own.join(equipment.select("terminal").distinct(), "terminal", "left_semi")
     leaf = held.where("own and n = 1 and terminal is not null").groupBy("feeder").agg(F.count("*").alias("n"), F.min("terminal").alias("terminal")).where("n = 1")
-    last = held.join(bus.select(F.col("id").alias("terminal")), "terminal", "left_semi").groupBy("feeder").agg(F.count("*").alias("n"), F.max("terminal").alias("terminal")).where("n > 1")
+    # A feeder's own terminals lie in a bay, so none of them is a section.
+    last = held.where("not own").join(bus.select(F.col("id").alias("terminal")), "terminal", "left_semi").groupBy("feeder").agg(F.count("*").alias("n"), F.max("terminal").alias("terminal")).where("n > 1")
     first = settle(attached.select("feeder", "terminal"), "targets")
     second = leaf.join(first, "feeder", "left_anti").select("feeder", "terminal")
     third = last.join(first, "feeder", "left_anti").join(leaf, "feeder", "left_anti").select("feeder", "terminal")
@@ -155,16 +156,17 @@ def _rounds(edges: DataFrame, starts: DataFrame, goals: DataFrame, most: int | N
     return out
 
 
-def shared(terminals: DataFrame, bays: DataFrame, switches: DataFrame, ends: DataFrame) -> dict[str, DataFrame]:
-    """held and equipment, as tables: the rows of members and located that paths, feeders and issues all need."""
-    return {"held": settle(members(terminals, bays, switches), "members"), "equipment": settle(located(terminals, ends), "equipment")}
+def shared(terminals: DataFrame, bays: DataFrame, switches: DataFrame, ends: DataFrame, held: DataFrame | None = None) -> dict[str, DataFrame]:
+    """held and equipment, as tables: the rows of members and located that paths, feeders and issues all need. Who has the rows of
+    members at hand gives them as held, with the terminals' kv if that is known as well."""
+    return {"held": settle(members(terminals, bays, switches) if held is None else held, "members"), "equipment": settle(located(terminals, ends), "equipment")}
 
 
 def paths(terminals: DataFrame, bays: DataFrame, switches: DataFrame, held: DataFrame, equipment: DataFrame) -> DataFrame:
     """feeder, section, step, switch, terminal: from each section that a feeder touches over its switches to a target."""
     bus = sections(terminals, bays)
     goals = targets(held, bus, equipment)
-    starts = held.join(bus.select(F.col("id").alias("terminal")), "terminal", "left_semi")
+    starts = held.where("not own").join(bus.select(F.col("id").alias("terminal")), "terminal", "left_semi")
     edges = switches.where("bay is not null and a is not null and b is not null")
     found = searches(
         edges.select(F.col("bay").alias("grp"), F.col("a").alias("x"), F.col("b").alias("y"), F.col("id").alias("via")),
@@ -180,7 +182,8 @@ def feeders(terminals: DataFrame, bays: DataFrame, switches: DataFrame, held: Da
     Equipment that no bay holds is a feeder of its own. kv: of the least own terminal that has one, else of the least other one.
     """
     bus = sections(terminals, bays)
-    known = held.join(terminals.select(F.col("id").alias("terminal"), "kv"), "terminal", "left").join(bus.select(F.col("id").alias("terminal"), F.lit(1).alias("bus")), "terminal", "left")
+    known = held if "kv" in held.columns else held.join(terminals.select(F.col("id").alias("terminal"), "kv"), "terminal", "left")
+    known = known.where("own").withColumn("bus", F.lit(None).cast("int")).unionByName(known.where("not own").join(bus.select(F.col("id").alias("terminal"), F.lit(1).alias("bus")), "terminal", "left"))
     per = known.groupBy("feeder").agg(F.count("*").cast("long").alias("n_terminals"), F.count("bus").cast("long").alias("n_sections"), F.min(F.when(F.col("kv") > 0, F.struct(~F.col("own"), "terminal", "kv"))).alias("m"))
     own = held.where("own").join(equipment.select("site", "class", "id", "terminal"), "terminal").select("feeder", "class", "id", "site").distinct()
     count = lambda rows, key, name: rows.groupBy(F.col(key).alias("feeder")).agg(F.count("*").cast("long").alias(name))
@@ -201,18 +204,20 @@ def connections(terminals: DataFrame, switches: DataFrame, ends: DataFrame) -> D
     return of.unionByName(located(terminals, ends).select("site", F.concat_ws("|", "class", "id").alias("key"), F.lit("equipment").alias("kind"), "terminal"))
 
 
-def issues(terminals: DataFrame, bays: DataFrame, switches: DataFrame, held: DataFrame, equipment: DataFrame, cubicles: DataFrame, ways: DataFrame) -> DataFrame:
-    """site, kind, class, id, field, reference of what a station's rows leave open; ways are the rows of paths."""
+def issues(terminals: DataFrame, bays: DataFrame, switches: DataFrame, held: DataFrame, equipment: DataFrame, cubicles: DataFrame, ways: DataFrame, doubtful: DataFrame | None = None) -> DataFrame:
+    """site, kind, class, id, field, reference of what a station's rows leave open; ways are the rows of paths. doubtful (site, id,
+    field, reference): the switches' ends of which it isn't sure that they are terminals; without it, all are looked up."""
     known = terminals.select(F.col("id").alias("reference"))
     text = lambda x: F.lit(x)
     at = lambda field, column: switches.select("site", "id", text(field).alias("field"), F.col(column).alias("reference"))
     row = lambda rows, kind, cls: rows.select("site", text(kind).alias("kind"), (cls if cls is not None else text("StaSwitch")).alias("class"), "id", "field", "reference")
-    loose = row(at("from", "a").unionByName(at("to", "b")).join(known, "reference", "left_anti"), "invalidSwitchEndpoints", None)
+    doubtful = at("from", "a").unionByName(at("to", "b")) if doubtful is None else doubtful
+    loose = row(doubtful.join(known, "reference", "left_anti"), "invalidSwitchEndpoints", None)
     lost = row(at("cubicleId", "cubicle").where("reference is not null").join(cubicles.select(F.col("id").alias("reference")), "reference", "left_anti"), "missingCubicleReferences", None)
     open_ = row(equipment.where("not known").select("site", "class", "id", text("terminal").alias("field"), F.col("terminal").alias("reference")), "unresolvedEquipmentConnections", F.col("class"))
     unclear = row(terminals.where("usage is null").join(bays.select(F.col("id").alias("parent")), "parent", "left_anti").select("site", "id", text("iUsage").alias("field"), text("").alias("reference")), "ambiguousBusSections", text("ElmTerm"))
     # A feeder without a path, a section or a terminal that two pieces of equipment share.
     joint = equipment.groupBy("site", "terminal").agg(F.count_distinct("class", "id").alias("n")).where("n > 1").select("terminal")
-    fine = ways.select("feeder").unionByName(held.join(sections(terminals, bays).select(F.col("id").alias("terminal")), "terminal", "left_semi").select("feeder")).unionByName(held.join(joint, "terminal", "left_semi").select("feeder"))
+    fine = ways.select("feeder").unionByName(held.where("not own").join(sections(terminals, bays).select(F.col("id").alias("terminal")), "terminal", "left_semi").select("feeder")).unionByName(held.join(joint, "terminal", "left_semi").select("feeder"))
     stuck = row(bays.join(fine.select(F.col("feeder").alias("id")), "id", "left_anti").select("site", "id", text("terminalIds").alias("field"), text("").alias("reference")), "unresolvedFeederTerminals", text("ElmBay"))
     return loose.unionByName(lost).unionByName(open_).unionByName(unclear).unionByName(stuck)
